@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veridex.llm import near_dup, packing, quality_rules, token_counts, token_files, url_filter
+from veridex.llm import near_dup, packing, pii, quality_rules, token_counts, token_files, url_filter
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op7_near_dup": near_dup.op7_near_dup,
     "op8_url_filter": url_filter.op8_url_filter,
+    "op9_pii": pii.op9_pii,
     "op10_token_counts": token_counts.op10_token_counts,
 }
 SQL = {"op1_quality_rules": quality_rules.ORACLE_SQL, "op8_url_filter": url_filter.ORACLE_SQL}
