@@ -183,32 +183,51 @@ def _match(batches: Iterator[pa.RecordBatch], index: Index, out: pa.Schema) -> I
         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows) if rows else [[]] * len(out), out)], schema=out)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(id_col, item_id, score, question_overlap, answer_overlap) of each verified pair of a row of docs and an item."""
-    spark = docs.sparkSession
+def indexes(benchmark: DataFrame, shard_bytes: int = SHARD_BYTES) -> Iterator[Index]:
+    """The index, in shards of about shard_bytes of item texts."""
+    spark = benchmark.sparkSession
     items = benchmark.selectExpr("CAST(item_id AS long) AS item_id", "text")
-    sizes = items.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    shards = max(1, math.ceil(sizes / shard_bytes))
-    each = items.mapInArrow(_item_words, "item_id long, word string, n long")
-    each = saved(each, "item-words")
+    size, n_items = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    shards = max(1, math.ceil(size / shard_bytes))
+    each = saved(items.mapInArrow(_item_words, "item_id long, word string, n long"), "item-words")
     df_all = each.groupBy("word").agg(F.count("*").alias("df"))
-    stats = each.groupBy(F.lit(1).alias("one")).agg(F.sum("n").alias("words")).first()
-    n_items = items.count()
-    out = None
-    schema = pa.schema([(id_col, pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())])
-    ddl = f"`{id_col}` long, item_id long, score double, question_overlap double, answer_overlap double"
+    total = each.agg(F.sum("n")).first()[0] or 1
     for s in range(shards):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == s)
         rows = [(r["item_id"], r["text"]) for r in part.collect()]  # about shard_bytes
-        own = {w for _, t in rows for w in words(t)}
-        known = spark.createDataFrame([(w,) for w in sorted(own)], "word string")
-        df = {r["word"]: r["df"] for r in df_all.join(known, "word").collect()}  # words of this shard only
-        index = Index(rows, df, n_items, (stats["words"] if stats else 1) / max(1, n_items))
+        own = spark.createDataFrame([(w,) for w in sorted({w for _, t in rows for w in words(t)})], "word string")
+        df = {r["word"]: r["df"] for r in df_all.join(own, "word").collect()}  # words of this shard only
+        yield Index(rows, df, n_items, total / max(1, n_items))
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(id_col, item_id, score, question_overlap, answer_overlap) of each verified pair of a row of docs and an item."""
+    out = None
+    schema = pa.schema([(id_col, pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())])
+    ddl = f"`{id_col}` long, item_id long, score double, question_overlap double, answer_overlap double"
+    for index in indexes(benchmark, shard_bytes):
         found = docs.selectExpr(f"CAST(`{id_col}` AS long) AS `{id_col}`", "text").mapInArrow(lambda b, index=index: _match(b, index, schema), ddl)
         out = found if out is None else out.unionAll(found)
     return out
 
 
+def _keep(batches: Iterator[pa.RecordBatch], index: Index, text_at: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [t or "" for t in batch.column(text_at).to_pylist()]
+        clean = np.ones(len(texts), bool)
+        for a, b in slices([len(t) for t in texts], 1 << 20):
+            clean[[a + t for t, _ in index.verified(texts[a:b])]] = False
+        yield batch.filter(pa.array(clean))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """The rows of docs in which no item is verified, with all their columns."""
+    at = docs.columns.index("text")
+    for index in indexes(benchmark, shard_bytes):
+        docs = docs.mapInArrow(lambda b, index=index: _keep(b, index, at), docs.schema)
+    return docs
+
+
 def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each distinct word of each item."""
     for batch in batches:

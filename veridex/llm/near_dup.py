@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridex.llm.common import saved, slices, table
@@ -221,8 +221,15 @@ def _residual(bands: DataFrame, roots: DataFrame, signed: DataFrame, likely: flo
     return left.join(right, "band").where("i <= j").select("x", "y").mapInArrow(lambda b: _blocks(b, likely, _EDGES), _EDGE).selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct()
 
 
+def _empty() -> Column:
+    return ~F.coalesce(F.col("text").rlike(r"[^ \t\n\x0B\f\r]"), F.lit(False))
+
+
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """(doc_id, class_id, node) of each row of docs (doc_id, text): class_id is the least doc_id of the class."""
+    """(doc_id, class_id, node, root, empty) of each row of docs (doc_id, text): class_id is the least doc_id of the class.
+
+    node: a hash of the text; root: the class; empty: the text has no word, the row is a class of its own.
+    """
     node = F.unhex(F.md5(F.col("text").cast("binary")))
     docs = docs.selectExpr("CAST(doc_id AS long) AS doc_id", "text").withColumn("node", node)
     fields = pa.schema([("node", pa.binary()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
@@ -243,11 +250,22 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     # The least doc_id of each text, then of each class of texts; copies are summed up before they meet.
     least_id = docs.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     rooted = least_id.join(roots, "node").select("node", "root", "doc_id")
-    ids = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id")).join(rooted.select("node", "root"), "root").select("node", "class_id")
-    alone = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"[ \t\n\x0B\f\r]+", "")) == 0
-    found = least_id.join(ids, "node", "left").select("node", F.coalesce("class_id", "doc_id").alias("class_id"))
-    out = docs.select("doc_id", "node", alone.alias("empty")).join(found, "node", "left")
-    return out.select("doc_id", F.when(F.col("empty"), F.col("doc_id")).otherwise(F.coalesce("class_id", "doc_id")).alias("class_id"), "node", "empty")
+    ids = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id")).join(rooted.select("node", "root"), "root").select("node", "root", "class_id")
+    found = least_id.join(ids, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.coalesce("class_id", "doc_id").alias("class_id"))
+    out = docs.select("doc_id", "node", _empty().alias("empty")).join(found, "node", "left")
+    return out.select("doc_id", F.when(F.col("empty"), F.col("doc_id")).otherwise(F.coalesce("class_id", "doc_id")).alias("class_id"), "node", "root", "empty")
+
+
+def one_of_each(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """Of each class the row with the least doc_id (of equal rows one), with all columns of docs; rows without words all stay."""
+    found = saved(classes(docs, least).withColumn("k", F.coalesce("doc_id", F.lit(-(1 << 63)))), "classes")
+    first = found.where("NOT empty").groupBy("root").agg(F.min(F.struct("k", "node")).alias("f")).select("f.k", "f.node")
+    twice = found.where("NOT empty").groupBy("k", "node").agg(F.count("*").alias("n")).where("n > 1").select("k", "node")
+    names = docs.columns
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.coalesce(F.expr("CAST(doc_id AS long)"), F.lit(-(1 << 63))).alias("k"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("node"), _empty().alias("empty"))
+    stay = packed.where("NOT empty").join(first, ["k", "node"], "left_semi")
+    out = stay.join(twice, ["k", "node"], "left_anti").select("row").unionAll(stay.join(twice, ["k", "node"], "left_semi").dropDuplicates(["k", "node"]).select("row"))
+    return out.unionAll(packed.where("empty").select("row")).select(*(F.col("row").getField(c).alias(c) for c in names))
 
 
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,13 +84,18 @@ def _repeated(words: Column, hashed: Column, n: Column) -> Column:
     return F.when((n >= WINDOW) & (F.size(F.array_distinct(hashed)) < F.size(hashed)), covered).otherwise(F.lit(0))
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_marks, n_distinct, n_stops, n_upper), one row a document."""
+def statistics(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_marks, n_distinct, n_stops, n_upper), one row a document.
+
+    carry: all columns of docs too, in the struct `row`.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
-    df = docs.select("doc_id", text.alias("text"))
-    df = df.select("doc_id", "text", F.filter(F.split("text", r"[ \t\n\x0B\f\r]+"), lambda w: w != "").alias("words"), F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^ \t\n\x0B\f\r]")).alias("lines"))
+    rows = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []
+    df = docs.select("doc_id", *rows, text.alias("text"))
+    rows = ["row"] if carry else []
+    df = df.select("doc_id", *rows, "text", F.filter(F.split("text", r"[ \t\n\x0B\f\r]+"), lambda w: w != "").alias("words"), F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^ \t\n\x0B\f\r]")).alias("lines"))
     df = df.select(
-        "doc_id", "words", F.size("words").alias("n"), F.transform("words", lambda w: F.xxhash64(w)).alias("w"),
+        "doc_id", *rows, "words", F.size("words").alias("n"), F.transform("words", lambda w: F.xxhash64(w)).alias("w"),
         F.length(F.array_join("words", "")).alias("word_chars"), _count(F.col("text"), _SYMBOLS).alias("n_symbols"), _count(F.col("text"), _MARKS).alias("n_marks"),
         _count(F.col("text"), ".!?").alias("n_stops"), _count(F.col("text"), _UPPER).alias("n_upper"),
         F.size("lines").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
@@ -102,7 +107,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     df = df.withColumn("hashed", F.slice("w8", F.lit(1), F.greatest(F.lit(0), F.col("n") - (WINDOW - 1))))
     longs = ("word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_marks", "n_stops", "n_upper")
     return df.select(
-        "doc_id", F.col("n").cast("long").alias("n_words"), *(F.col(c).cast("long").alias(c) for c in longs),
+        "doc_id", *rows, F.col("n").cast("long").alias("n_words"), *(F.col(c).cast("long").alias(c) for c in longs),
         _repeated(F.col("words"), F.col("hashed"), F.col("n")).cast("long").alias("n_repeat_words"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct"),
     )
 
@@ -155,13 +160,18 @@ def posterior(model: tuple[float, list[float], list[float]]) -> Column:
     return 1 / (1 + F.exp(-odds))
 
 
-def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, carry: bool = False) -> DataFrame:
     """statistics() with votes, posterior, base_failed and kept."""
-    voted = saved(votes(statistics(docs), rules).withColumn("base_failed", base_failed()), "votes")
+    voted = saved(votes(statistics(docs, carry), rules).withColumn("base_failed", base_failed()), "votes")
     model = estimate(voted.where(~F.col("base_failed")), len(rules))
     return voted.withColumn("posterior", posterior(model)).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= THRESHOLD))
 
 
+def kept(docs: DataFrame) -> DataFrame:
+    """The rows of docs that the rules keep, with their columns."""
+    return judged(docs, carry=True).where("kept").select("row.*")
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("posterior", 6).alias("posterior"))
 
