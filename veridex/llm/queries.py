@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from veridex.llm import decontaminate, near_dup, packing, pii, quality_rules, token_counts, token_files, url_filter, warc_audit
+from veridex.llm import decontaminate, near_dup, packing, pii, quality_rules, repeats, token_counts, token_files, url_filter, warc_audit
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op2_repeats": repeats.op2_repeats,
     "op3_token_files": token_files.op3_token_files,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_warc_audit": warc_audit.op5_warc_audit,
