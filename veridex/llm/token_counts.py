@@ -67,7 +67,7 @@ class PrefixCounter:
     def _stay(self, a: str, b: str) -> bool:
         found = self.together.get((a, b))
         if found is None:
-            if len(self.together) > 2_000_000:
+            if len(self.together) > 400_000:
                 self.together.clear()
             found = self.together[a, b] = self.merge(a + b) == [a, b]
         return found
@@ -92,7 +92,7 @@ class PrefixCounter:
     def _known(self, s: str) -> list[int]:
         """prefixes(s), by the cached states of s's own prefixes."""
         states = self.states
-        if len(states) > 1_000_000:
+        if len(states) > 400_000:
             states.clear()
         out, rank, longest, stay = [], self.rank, self.longest, self._stay
         for end in range(1, len(s) + 1):
