@@ -4,16 +4,239 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from veridex.functions import compat
+from veridex.operators import search
+from veridex.operators.engine import Engine
+from veridex.plans import guard, typing
+from veridex.sources import catalog
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+BIG = "CAST({} AS BIGINT)"
+SQL: dict[str, str] = {
+    "scan_orders": "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders",
+    "projection_alias": "SELECT o_orderkey AS k, o_totalprice * 2 AS twice FROM orders",
+    "qualified_star": "SELECT n.* FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey WHERE r.r_name <> 'ASIA'",
+    "filter_compare": "SELECT o_orderkey FROM orders WHERE o_totalprice >= 1000 AND o_totalprice < 50000 AND o_orderstatus <> 'P'",
+    "filter_between": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1996-12-31'",
+    "filter_in": "SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('F', 'O')",
+    "filter_not_in": "SELECT o_orderkey FROM orders WHERE o_orderstatus NOT IN ('P')",
+    "filter_null": "SELECT o_orderkey FROM orders WHERE o_orderdate IS NOT NULL AND NULLIF(o_orderstatus, 'P') IS NULL",
+    "filter_like": "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%a%' AND p_type NOT LIKE '%zz%'",
+    "filter_ilike": "SELECT p_partkey FROM part WHERE p_brand ILIKE 'BRAND%1'",
+    "filter_bool_tree": "SELECT l_orderkey, l_linenumber FROM lineitem WHERE (l_quantity > 30 OR l_discount = 0.05) AND NOT (l_returnflag = 'R')",
+    "typed_literals": "SELECT CAST(count(*) AS BIGINT) AS n FROM orders WHERE o_orderdate >= '1996-08-01' AND o_orderdate < DATE '1996-09-01'",
+    "cte_filter": "WITH t AS (SELECT o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'F') SELECT o_custkey, round(sum(o_totalprice), 2) AS total FROM t GROUP BY o_custkey",
+    "derived_table": "SELECT s, CAST(count(*) AS BIGINT) AS n FROM (SELECT o_orderstatus AS s FROM orders WHERE o_totalprice > 1000) t GROUP BY s",
+    "scalar_subquery_recent": "SELECT o_orderkey FROM orders WHERE o_orderdate >= (SELECT max(o_orderdate) - INTERVAL 365 DAY FROM orders)",
+    "semi_join": "SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)",
+    "anti_join": "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)",
+    "inner_join_multi": "SELECT a.l_orderkey, a.l_linenumber, b.l_quantity FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber",
+    "left_join_reference": "SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 100000",
+    "full_join_balance": "SELECT coalesce(a.k, b.k) AS k, a.n AS orders_n, b.n AS customers_n FROM (SELECT o_custkey % 50 AS k, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY 1) a FULL OUTER JOIN (SELECT c_custkey % 70 AS k, CAST(count(*) AS BIGINT) AS n FROM customer GROUP BY 1) b ON a.k = b.k",
+    "right_join": "SELECT r.r_name, n.n_name FROM nation n RIGHT JOIN region r ON n.n_regionkey = r.r_regionkey AND n.n_name LIKE '%A%'",
+    "cross_join_share": "WITH total AS (SELECT sum(o_totalprice) AS t FROM orders) SELECT o_orderstatus, round(100.0 * sum(o_totalprice) / max(t), 6) AS pct FROM orders CROSS JOIN total GROUP BY o_orderstatus",
+    "using_join": "SELECT CAST(count(*) AS BIGINT) AS n FROM (SELECT o_orderkey AS k FROM orders) a JOIN (SELECT l_orderkey AS k FROM lineitem) b USING (k)",
+    "self_join_revision": "SELECT a.o_orderkey AS a_key, b.o_orderkey AS b_key FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderdate = b.o_orderdate WHERE a.o_orderkey < b.o_orderkey AND a.o_totalprice <> b.o_totalprice",
+    "latest_revision": "WITH m AS (SELECT o_custkey, max(o_orderkey) AS k FROM orders GROUP BY o_custkey) SELECT o.o_custkey, o.o_totalprice FROM orders o JOIN m ON o.o_custkey = m.o_custkey AND o.o_orderkey = m.k",
+    "comma_join": "SELECT n.n_name, r.r_name FROM nation n, region r WHERE n.n_regionkey = r.r_regionkey",
+    "group_ordinals": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS q FROM lineitem GROUP BY 1, 2",
+    "global_agg": "SELECT round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem",
+    "agg_min_max_avg": "SELECT o_orderstatus, min(o_totalprice) AS lo, max(o_totalprice) AS hi, round(avg(o_totalprice), 4) AS mean, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY o_orderstatus",
+    "count_distinct": "SELECT o_orderstatus, CAST(count(DISTINCT o_custkey) AS BIGINT) AS n FROM orders GROUP BY o_orderstatus",
+    "cond_agg": "SELECT CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS returned FROM lineitem",
+    "filter_agg": "SELECT CAST(count(*) FILTER (WHERE l_discount > 0.05) AS BIGINT) AS n FROM lineitem",
+    "stddev": "SELECT l_returnflag, round(stddev(l_quantity), 6) AS sd FROM lineitem GROUP BY l_returnflag",
+    "median": "SELECT o_orderstatus, round(median(o_totalprice), 6) AS m FROM orders GROUP BY o_orderstatus",
+    "percentile_cont": "SELECT round(percentile_cont(0.9) WITHIN GROUP (ORDER BY o_totalprice), 6) AS p FROM orders",
+    "having": "SELECT o_custkey, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 12",
+    "agg_of_agg": "WITH t AS (SELECT o_custkey, sum(o_totalprice) AS s FROM orders GROUP BY o_custkey) SELECT round(avg(s), 4) AS mean, round(max(s), 4) AS top FROM t",
+    "distinct_rows": "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders",
+    "rollup": "SELECT l_returnflag, l_linestatus, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
+    "cube": "SELECT l_returnflag, l_linestatus, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)",
+    "grouping_sets": "SELECT l_returnflag, l_linestatus, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())",
+    "group_by_all": "SELECT o_orderstatus, o_orderpriority, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY ALL",
+    "mean_power_from_totals": "SELECT event_type, round(sum(value) / count(DISTINCT ts), 6) AS mean_power FROM events GROUP BY event_type",
+    "row_number_peak": "SELECT o_orderstatus, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) t WHERE rn = 1",
+    "running_total_window": "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 4) AS running FROM events",
+    "lag_delta": "SELECT event_id, round(value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 6) AS delta FROM events",
+    "lead_first_last": "SELECT event_id, lead(value) OVER w AS nxt, first_value(value) OVER w AS fst, last_value(value) OVER w AS lst FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)",
+    "ntile": "SELECT c_custkey, CAST(ntile(4) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) AS BIGINT) AS q FROM customer",
+    "ranks": "SELECT c_custkey, CAST(dense_rank() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) AS BIGINT) AS d, round(percent_rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey), 6) AS p, round(cume_dist() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey), 6) AS c FROM customer",
+    "frame_rows": "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS m FROM events",
+    "frame_range": "SELECT l_orderkey, l_linenumber, round(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING), 4) AS s FROM lineitem",
+    "top_k": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20",
+    "page_limit_offset": "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 11 OFFSET 20",
+    "order_nulls_last": "SELECT k FROM (SELECT NULLIF(o_custkey % 7, 3) AS k, o_orderkey FROM orders) t ORDER BY k ASC NULLS LAST, o_orderkey LIMIT 25",
+    "union_all_unpivot": "SELECT l_returnflag AS flag, 'quantity' AS measure, l_quantity AS v FROM lineitem UNION ALL SELECT l_returnflag, 'discount', l_discount FROM lineitem",
+    "union_distinct": "SELECT o_orderstatus AS s FROM orders UNION SELECT l_linestatus FROM lineitem",
+    "except_rows": "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders",
+    "intersect_rows": "SELECT c_custkey AS k FROM customer INTERSECT SELECT o_custkey FROM orders",
+    "round_abs_greatest": "SELECT c_custkey, round(abs(c_acctbal), 1) AS a, greatest(c_acctbal, 0) AS g FROM customer",
+    "ceil_floor_sqrt": "SELECT c_custkey, CAST(ceil(c_acctbal) AS BIGINT) AS c, CAST(floor(c_acctbal) AS BIGINT) AS f, round(sqrt(abs(c_acctbal)), 6) AS s FROM customer",
+    "ratio_nullif": "SELECT l_orderkey, l_linenumber, round(l_tax / NULLIF(l_discount, 0), 6) AS r FROM lineitem",
+    "case_bands": "SELECT o_orderkey, CASE WHEN o_totalprice < 1000 THEN 'low' WHEN o_totalprice < 100000 THEN 'mid' ELSE 'high' END AS band FROM orders",
+    "string_fns": "SELECT p_partkey, upper(trim(p_name)) AS u, lower(p_brand) AS l, CAST(length(p_name) AS BIGINT) AS n, substr(p_name, 2, 3) AS s, replace(p_brand, '#', '-') AS r FROM part",
+    "concat_key": "SELECT l_orderkey || '-' || l_linenumber AS k FROM lineitem",
+    "modulo_cast": "SELECT o_orderkey % 7 AS m, CAST(floor(o_totalprice) AS BIGINT) % 10 AS t FROM orders WHERE o_totalprice = floor(o_totalprice) OR o_orderkey % 2 = 0",
+    "md5_repeat": "SELECT n_nationkey, md5(n_name) AS h, repeat(n_name, 2) AS twice FROM nation",
+    "coalesce_try_cast": "SELECT p_partkey, coalesce(TRY_CAST(substr(p_brand, 7) AS INTEGER), -1) AS b, TRY_CAST('' AS DOUBLE) AS missing FROM part",
+    "interval_shift": "SELECT o_orderkey, o_orderdate + INTERVAL 30 DAY AS due FROM orders",
+    "current_date_filter": "SELECT CAST(count(*) AS BIGINT) AS n FROM orders WHERE CAST(o_orderdate AS DATE) <= current_date",
+    "alias_filter": "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O'",
+    "share_of_total": "SELECT o_orderstatus, round(100.0 * sum(o_totalprice) / (SELECT sum(o_totalprice) FROM orders), 6) AS pct FROM orders GROUP BY o_orderstatus",
+}
+
+
+def _view_query(sql: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        tables(spark, sf_dir)
+        return spark.sql(sql)
+
+    return run
+
+
+def tables(spark: SparkSession, sf_dir: str) -> None:
+    for t in TABLES:
+        if f" {t}" in _ALL_SQL:
+            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+
+
+_ALL_SQL = " ".join(SQL.values())
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def group_monthly_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "orders").groupBy(compat.trunc("month", F.col("o_orderdate")).alias("month")).agg(F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+def rank_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    agg = _t(spark, sf_dir, "orders").groupBy(compat.trunc("month", F.col("o_orderdate")).alias("month"), "o_orderstatus").agg(F.round(F.avg("o_totalprice"), 4).alias("mean"))
+    return agg.withColumn("r", F.rank().over(Window.partitionBy("month").orderBy(F.desc_nulls_last("mean"))).cast("long"))
+
+
+def date_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("o_orderdate")
+    return _t(spark, sf_dir, "orders").select("o_orderkey", F.year(d).cast("long").alias("y"), F.month(d).cast("long").alias("m"), F.extract(F.lit("HOUR"), d).cast("long").alias("h"), compat.day_of_week(d).alias("dow"), F.to_date(d).alias("day"), F.date_format(d, "yyyy").alias("text_year"))
+
+
+def datediff_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = F.to_timestamp_ntz(F.lit("1995-01-01 23:00:00"))
+    df = _t(spark, sf_dir, "orders").select("o_orderkey", a.alias("a"), F.col("o_orderdate").alias("b"))
+    return df.select("o_orderkey", *(compat.boundaries(u, F.col("a"), F.col("b")).alias(f"{u}s") for u in ("year", "month", "day", "hour", "second")))
+
+
+def strip_accents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").select("doc_id", F.md5(compat.strip_accents(F.col("text"))).alias("h"))
+
+
+def decimal_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _t(spark, sf_dir, "customer").select("c_custkey", F.replace(F.format_number("c_acctbal", 2), F.lit(","), F.lit("_")).alias("t"))
+    return df.select("c_custkey", compat.decimal_text(F.replace(F.replace(F.col("t"), F.lit("."), F.lit(",")), F.lit("_"), F.lit("."))).alias("v"))
+
+
+def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+def last_value_by_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "events").groupBy("user_id").agg(compat.last_value_by(F.col("value"), F.struct("ts", "event_id")).alias("last"))
+
+
+def metric_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = catalog.load().find("events")
+    m = d.metrics[0]
+    return d.scan(spark, sf_dir).groupBy("event_type").agg(*(F.round(m.column(k), 8).alias(k) for k in ("total_energy", "average_power", "peak_power")))
+
+
+def range_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.range(500).where("id % 3 = 0").select(F.col("id").alias("x"))
+
+
+def pivot_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "lineitem").unpivot(["l_orderkey", "l_linenumber"], ["l_quantity", "l_extendedprice"], "measure", "v")
+
+
+def daily_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = F.window(F.col("ts").cast("timestamp"), "1 day")
+    return _t(spark, sf_dir, "events").groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("day"), "event_type", "n")
+
+
+def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.bm25(_t(spark, sf_dir, "documents"), "doc_id", "text", "the were und pour la", 10)
+
+
+def rank_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Engine(spark, sf_dir).search("monthly revenue of customer orders")
+
+
+def list_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Engine(spark, sf_dir).list_datasets()
+
+
+def additivity_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(d.key, m.id, m.kind, typing.additive(m)) for d in catalog.load().datasets.values() for m in d.metrics], "dataset string, metric string, kind string, additive boolean")
+
+
+GUARDED = (
+    "SELECT 1 AS a", "WITH t AS (SELECT * FROM orders) SELECT count(*) FROM t", "SELECT * FROM orders UNION ALL SELECT * FROM orders", "DESCRIBE SELECT * FROM orders", "DROP TABLE orders", "SELECT 1; SELECT 2",
+    "SELECT * FROM parquet.`/etc/passwd`", "SELECT reflect('java.lang.System', 'getenv', 'HOME')", "SELECT * FROM range(100000000)", "SELECT * FROM orders, lineitem, customer", "SELECT * FROM secrets",
+)
+
+
+def guard_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = []
+    for sql in GUARDED:
+        try:
+            guard.check(spark, sql, {"orders", "lineitem", "customer"})
+            rows.append((sql, True))
+        except guard.Rejected:
+            rows.append((sql, False))
+    return spark.createDataFrame(rows, "statement string, allowed boolean")
+
+
+def result_schema_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = Engine(spark, sf_dir)
+    sql = "SELECT o_orderstatus, SUM(o_totalprice) AS total, AVG(o_totalprice) AS mean, COUNT(*) AS n FROM orders GROUP BY o_orderstatus"
+    rows = [(c["name"], c["role"], c["agg"], c["metric"], c["unit"], c["unit_tier"], c["additive"]) for c in typing.columns(e.query(sql), e.catalog, sql)]
+    return spark.createDataFrame(rows, "name string, role string, agg string, metric string, unit string, unit_tier string, additive boolean")
+
+
+MORE = {
+    "group_monthly_sum": (group_monthly_sum, "SELECT date_trunc('month', o_orderdate)::TIMESTAMP AS month, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1"),
+    "rank_monthly": (rank_monthly, "SELECT *, rank() OVER (PARTITION BY month ORDER BY mean DESC) AS r FROM (SELECT date_trunc('month', o_orderdate)::TIMESTAMP AS month, o_orderstatus, round(avg(o_totalprice), 4) AS mean FROM orders GROUP BY 1, 2)"),
+    "date_parts": (date_parts, "SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, extract(hour FROM o_orderdate) AS h, dayofweek(o_orderdate) AS dow, o_orderdate::DATE AS day, strftime(o_orderdate, '%Y') AS text_year FROM orders"),
+    "datediff_units": (datediff_units, "SELECT o_orderkey, " + ", ".join(f"datediff('{u}', TIMESTAMP '1995-01-01 23:00:00', o_orderdate) AS {u}s" for u in ("year", "month", "day", "hour", "second")) + " FROM orders"),
+    "strip_accents": (strip_accents, f"SELECT doc_id, md5(translate(text, '{compat.ACCENTED}', '{compat.BARE}')) AS h FROM documents"),
+    "decimal_text": (decimal_text, "SELECT c_custkey, round(c_acctbal, 2) AS v FROM customer"),
+    "json_props": (json_props, "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events"),
+    "last_value_by_time": (last_value_by_time, "SELECT user_id, arg_max(value, {'ts': ts, 'e': event_id}) AS last FROM events GROUP BY user_id"),
+    "metric_modes": (metric_modes, "SELECT event_type, round(sum(value * 0.5) / 1000, 8) AS total_energy, round(avg(value), 8) AS average_power, round(max(value), 8) AS peak_power FROM events GROUP BY 1"),
+    "range_source": (range_source, "SELECT range AS x FROM range(500) WHERE range % 3 = 0"),
+    "pivot_measures": (pivot_measures, "SELECT l_orderkey, l_linenumber, 'l_quantity' AS measure, l_quantity AS v FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, 'l_extendedprice', l_extendedprice FROM lineitem"),
+    "daily_windows": (daily_windows, "SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2"),
+    "bm25_search": (bm25_search, None),
+    "rank_datasets": (rank_datasets, None),
+    "list_datasets": (list_datasets, "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{t}')" for k, t in catalog.load().listing()) + ") v(key, title)"),
+    "additivity_table": (additivity_table, "SELECT * FROM (VALUES ('sales/orders', 'order_value', 'financial_flow', true), ('sales/lineitem', 'quantity', 'flow', true), ('sales/lineitem', 'line_value', 'financial_flow', true), ('sales/lineitem', 'discount', 'ratio', false), ('web/events', 'load', 'average_power', false), ('sales/customer', 'balance', 'stock', false), ('sales/part', 'retail_price', 'price', false)) v(dataset, metric, kind, additive)"),
+    "guard_table": (guard_table, "SELECT * FROM (VALUES " + ", ".join("('" + s.replace("'", "''") + f"', {str(i < 4).lower()})" for i, s in enumerate(GUARDED)) + ") v(statement, allowed)"),
+    "result_schema_table": (result_schema_table, "SELECT * FROM (VALUES ('o_orderstatus', 'dimension', NULL, NULL, NULL, 'unknown', NULL), ('total', 'measure', 'sum', 'order_value', 'USD', 'column_native', true), ('mean', 'measure', 'avg', 'order_value', 'USD', 'column_native', false), ('n', 'measure', 'count', NULL, NULL, 'count', true)) v(name, role, agg, metric, unit, unit_tier, additive)"),
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: _view_query(sql) for name, sql in SQL.items()} | {name: f for name, (f, _) in MORE.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return SQL | {name: sql for name, (_, sql) in MORE.items() if sql}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_orderstatus").count()
+    """Mean order value by status in one month, through the guard."""
+    return Engine(spark, sf_dir).query("SELECT o_orderstatus, ROUND(AVG(o_totalprice), 1) AS mean_value, COUNT(*) AS n FROM orders WHERE o_orderdate >= '1996-08-01' AND o_orderdate < '1996-09-01' GROUP BY 1")
