@@ -55,3 +55,22 @@ def slices(lengths, limit: int):
         total += n
     if start < len(lengths):
         yield start, len(lengths)
+
+
+def release() -> None:
+    """Gives memory that a worker no longer uses back to the system, so that it doesn't count against its executor."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def rows_of(batches):
+    """The rows of record batches as dicts, one at a time."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+        release()

@@ -26,17 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridex.llm.common import partitions, saved, slices, table
+from veridex.llm.common import partitions, release, rows_of, saved, slices, table
 from veridex.llm.segments import _powers, mix
 
 LEAST, GRAM = 50, 24
 SPAN = LEAST - GRAM  # places before an anchor at which a string that holds it can begin
 CONTEXT = SPAN + GRAM + SPAN
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 #: Bits of an anchor's hash in the first exchange; equal ones by chance only cost a useless context.
 BITS = 48
 #: Suffixes that are sorted at once.
-PART = 400_000
+PART = 120_000
 _LAST = np.iinfo(np.int64).max
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 
@@ -129,7 +129,7 @@ class Anchors:
         self.data = data
         starts = np.append(0, ends[:-1])
         found: list[list[np.ndarray]] = []
-        for a, b in slices((ends - starts).tolist(), 1 << 21):
+        for a, b in slices((ends - starts).tolist(), 1 << 19):
             found.append(self._of(int(starts[a]), int(ends[b - 1]), starts[a:b], ends[a:b], a))
         self.at, self.lo, self.hi, self.doc, self.key = (np.concatenate(x) if found else np.zeros(0, t) for x, t in zip(zip(*found) if found else [()] * 5, (np.int64, np.int64, np.int64, np.int64, np.uint64)))
 
@@ -285,19 +285,20 @@ _ANSWER = pa.schema([("chunk", pa.string()), ("bucket", pa.int32()), ("bits", pa
 
 
 def _send_keys(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            c = Chunk(row)
-            edge = buckets(c.keys, n)
-            rows = []
-            for k in range(n):
-                a, b = edge[k], edge[k + 1]
-                if b > a:
-                    rows.append((k, c.name, int(b - a), np.packbits(c.several[a:b]).tobytes(), _squeeze(np.diff(c.keys[a:b], prepend=np.uint64(0)))))
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows) if rows else [[]] * 5, _SENT)], schema=_SENT)
+    for row in rows_of(batches):
+        c = Chunk(row)
+        edge = buckets(c.keys, n)
+        rows = []
+        for k in range(n):
+            a, b = edge[k], edge[k + 1]
+            if b > a:
+                rows.append((k, c.name, int(b - a), np.packbits(c.several[a:b]).tobytes(), _squeeze(np.diff(c.keys[a:b], prepend=np.uint64(0)))))
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows) if rows else [[]] * 5, _SENT)], schema=_SENT)
+        release()
 
 
 def _find_shared(t: pa.Table) -> pa.Table:
+    release()  # of the group before
     keys, several, sizes = [], [], t["n"].to_pylist()
     for n, s, blob in zip(sizes, t["several"].to_pylist(), t["blob"].to_pylist()):
         keys.append(np.cumsum(_expand(blob, 8).view(np.uint64).ravel()))
@@ -323,17 +324,17 @@ _MASKS = pa.schema([("chunk", pa.string()), ("bucket", pa.int32()), ("masks", pa
 
 
 def _send_contexts(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            c = Chunk(row)
-            c.contexts(_shared(c, row["answers"], n))
-            edge = buckets(c.row_key, n)
-            rows = []
-            for k in range(n):
-                a, b = edge[k], edge[k + 1]
-                if b > a:
-                    rows.append((k, c.name, int(b - a), _squeeze(c.least[a:b]), _squeeze(c.rows[a:b])))
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows) if rows else [[]] * 5, _ROWS)], schema=_ROWS)
+    for row in rows_of(batches):
+        c = Chunk(row)
+        c.contexts(_shared(c, row["answers"], n))
+        edge = buckets(c.row_key, n)
+        rows = []
+        for k in range(n):
+            a, b = edge[k], edge[k + 1]
+            if b > a:
+                rows.append((k, c.name, int(b - a), _squeeze(c.least[a:b]), _squeeze(c.rows[a:b])))
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows) if rows else [[]] * 5, _ROWS)], schema=_ROWS)
+        release()
 
 
 def _covered(rows: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -389,6 +390,7 @@ _FULL = np.uint32((1 << (SPAN + 1)) - 1)
 
 
 def _find_repeats(t: pa.Table) -> pa.Table:
+    release()  # of the group before
     sizes = t["n"].to_pylist()
     rows = np.concatenate([_expand(b, CONTEXT + 2) for b in t["blob"].to_pylist()])
     doc = np.concatenate([_expand(b, 8).view(np.int64).ravel() for b in t["least"].to_pylist()])
@@ -404,8 +406,11 @@ def _find_repeats(t: pa.Table) -> pa.Table:
     equal = anchor[1:] == anchor[:-1]
     mixed = np.append(equal, False) | np.append(False, equal)
     mask = np.zeros(len(distinct), np.uint32)
-    if mixed.any():
-        mask[mixed] = _covered(distinct[mixed], least[mixed])
+    some = np.flatnonzero(mixed)
+    heads = np.flatnonzero(np.append(True, anchor[some][1:] != anchor[some][:-1])) if len(some) else some
+    for a, b in slices(np.diff(np.append(heads, len(some))).tolist(), PART // (SPAN + 1)):  # whole anchors at a time
+        part = some[heads[a] : heads[b] if b < len(heads) else len(some)]
+        mask[part] = _covered(distinct[part], least[part])
     out = np.empty(len(rows), np.uint32)
     out[order] = np.where(doc[order] > least[group], _FULL, mask[group])
     parts = np.split(out, np.cumsum(sizes)[:-1])
@@ -420,37 +425,37 @@ _SPANS = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
 
 def _remove(batches: Iterator[pa.RecordBatch], n: int, full: bool, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            c = Chunk(row)
-            c.contexts(_shared(c, row["answers"], n))
-            a = c.anchors
-            mask = np.zeros(len(c.rows), np.uint32)
-            edge = buckets(c.row_key, n)
-            for x in row["masks"] or ():
-                mask[edge[x["bucket"]] : edge[x["bucket"] + 1]] = _expand(x["masks"], 4).view(np.uint32).ravel()
-            own = mask[c.row]
-            own[c.rank[a.doc[c.occ]] > c.least[c.row]] = _FULL  # a smaller document of this chunk has the context
-            mark = np.zeros(len(c.data) + 1, np.int32)
-            for k in range(SPAN + 1):
-                s = a.at[c.occ] - SPAN + k
-                hit = s[(own >> np.uint32(k) & np.uint32(1)).astype(bool) & (s >= a.lo[c.occ]) & (s <= a.hi[c.occ])]
-                np.add.at(mark, hit, 1)
-                np.add.at(mark, hit + LEAST, -1)
-            gone = np.cumsum(mark[:-1]) > 0
-            rows = []
-            for i, (b, e) in enumerate(zip((c.ends - c.sizes).tolist(), c.ends.tolist())):
-                g = gone[b:e]
-                edges = np.flatnonzero(np.diff(g.astype(np.int8), prepend=0, append=0))
-                kept = c.data[b:e][~g].tobytes()
-                out = [None if c.nulls[i] else int(c.ids[i]), e - b, int(g.sum()), len(edges) // 2, hashlib.sha256(kept).hexdigest()]
-                rows.append(out + ([kept, [{"begin": x, "end": y} for x, y in edges.reshape(-1, 2).tolist()]] if full else []))
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
+    for row in rows_of(batches):
+        c = Chunk(row)
+        c.contexts(_shared(c, row["answers"], n))
+        a = c.anchors
+        mask = np.zeros(len(c.rows), np.uint32)
+        edge = buckets(c.row_key, n)
+        for x in row["masks"] or ():
+            mask[edge[x["bucket"]] : edge[x["bucket"] + 1]] = _expand(x["masks"], 4).view(np.uint32).ravel()
+        own = mask[c.row]
+        own[c.rank[a.doc[c.occ]] > c.least[c.row]] = _FULL  # a smaller document of this chunk has the context
+        mark = np.zeros(len(c.data) + 1, np.int32)
+        for k in range(SPAN + 1):
+            s = a.at[c.occ] - SPAN + k
+            hit = s[(own >> np.uint32(k) & np.uint32(1)).astype(bool) & (s >= a.lo[c.occ]) & (s <= a.hi[c.occ])]
+            np.add.at(mark, hit, 1)
+            np.add.at(mark, hit + LEAST, -1)
+        gone = np.cumsum(mark[:-1]) > 0
+        rows = []
+        for i, (b, e) in enumerate(zip((c.ends - c.sizes).tolist(), c.ends.tolist())):
+            g = gone[b:e]
+            edges = np.flatnonzero(np.diff(g.astype(np.int8), prepend=0, append=0))
+            kept = c.data[b:e][~g].tobytes()
+            out = [None if c.nulls[i] else int(c.ids[i]), e - b, int(g.sum()), len(edges) // 2, hashlib.sha256(kept).hexdigest()]
+            rows.append(out + ([kept, [{"begin": x, "end": y} for x, y in edges.reshape(-1, 2).tolist()]] if full else []))
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
+        release()
 
 
 def dedup(docs: DataFrame, chunk: int = CHUNK, full: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept, spans]) of each row of docs (doc_id, text)."""
-    n = partitions(docs.sparkSession)
+    n = 3 * partitions(docs.sparkSession)  # buckets are small beside a task
     chunks = saved(docs.selectExpr("CAST(doc_id AS long) AS doc_id", "text").mapInArrow(lambda b: _gather_chunks(b, chunk), _CHUNK_DDL), "chunks")
     sent = chunks.mapInArrow(lambda b: _send_keys(b, n), "bucket int, chunk string, n long, several binary, blob binary")
     answers = saved(sent.groupBy("bucket").applyInArrow(_find_shared, "chunk string, bucket int, bits binary"), "shared")
