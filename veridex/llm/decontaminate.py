@@ -166,10 +166,13 @@ class Index:
             for k, score in self.search(set(passage)):
                 item = self.items[k][1]
                 cut = -(-2 * len(item) // 3) if len(item) > 1 else 1
-                q = common_part(item[:cut], passage) / cut
-                a = common_part(item[cut:], passage) / (len(item) - cut) if len(item) > cut else q
-                if q >= overlap and a >= overlap:
-                    out[t, k] = max(out.get((t, k), (0.0, 0.0, 0.0)), (score, q, a))
+                # In parts of twice the item's length, so that a short item isn't pieced together from a long passage.
+                for begin in range(0, max(1, len(passage) - len(item)), len(item)):
+                    part = passage[begin : begin + 2 * len(item)]
+                    q = common_part(item[:cut], part) / cut
+                    a = common_part(item[cut:], part) / (len(item) - cut) if len(item) > cut else q
+                    if q >= overlap and a >= overlap:
+                        out[t, k] = max(out.get((t, k), (0.0, 0.0, 0.0)), (score, q, a))
         return out
 
 

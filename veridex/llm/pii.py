@@ -13,6 +13,7 @@ other columns are carried, whatever they are called. The key is a parameter: who
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,6 +65,11 @@ _SYLLABLES = {
 }
 
 
+def _once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), with x computed once however often f's lambdas refer to it."""
+    return F.transform(F.array(x), f)[0]
+
+
 def _entity(kind: Column, value: Column) -> Column:
     """Struct (kind, value, canon)."""
     canon = value
@@ -77,15 +83,15 @@ def entities(text: Column) -> Column:
     """Array of (kind, value, canon) of the entities in order."""
     groups = [F.regexp_extract_all(text, F.lit(PATTERN), i + 1) for i in range(len(KINDS))]
     whole = F.regexp_extract_all(text, F.lit(PATTERN), 0)
-    kind = F.lit(KINDS[-1].name)
 
-    def of(v: Column, i: Column) -> Column:
-        found = kind
-        for k, g in reversed(list(zip(KINDS[:-1], groups[:-1]))):
-            found = F.when(F.get(g, i) != "", F.lit(k.name)).otherwise(found)
+    def of(s: Column, v: Column, i: Column) -> Column:
+        found = F.lit(KINDS[-1].name)
+        for n, k in reversed(list(enumerate(KINDS[:-1]))):
+            found = F.when(F.get(s[f"g{n}"], i) != "", F.lit(k.name)).otherwise(found)
         return _entity(found, v)
 
-    return F.transform(whole, of)
+    found = F.struct(whole.alias("w"), *(g.alias(f"g{n}") for n, g in enumerate(groups)))
+    return _once(found, lambda s: F.transform(s["w"], lambda v, i: of(s, v, i)))
 
 
 def _digest(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
@@ -112,7 +118,10 @@ def _alike(value: Column, digest: Column, since: int = 0) -> Column:
 
 def drawn(kind: Column, canon: Column, attempt: Column, key: str = KEY) -> Column:
     """The canonical form of the surrogate."""
-    d = _digest(kind, canon, attempt, key)
+    return _once(_digest(kind, canon, attempt, key), lambda d: _drawn(kind, canon, d))
+
+
+def _drawn(kind: Column, canon: Column, d: Column) -> Column:
     local, domain = F.substring_index(canon, "@", 1), F.substring_index(canon, "@", -1)
     # At least ten drawn characters; labels in front of the last two are kept in number; example.* belongs to no one.
     tail = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(10)), lambda i: F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), _byte(d, i + 100) % 26 + 1, F.lit(1))), "")
@@ -145,9 +154,9 @@ def drawn(kind: Column, canon: Column, attempt: Column, key: str = KEY) -> Colum
 def written(kind: Column, value: Column, surrogate: Column) -> Column:
     """The surrogate as the occurrence is written: its separators; an address in capitals stays in capitals."""
     numbers = kind.isin("ssn", "card", "phone", "iban")
-    chars = F.split(value, "")
-    kept = F.transform(chars, lambda c: F.when(c.rlike("[0-9A-Za-z]"), 1).otherwise(0))
-    spaced = F.array_join(F.transform(chars, lambda c, i: F.when(F.get(kept, i) == 1, F.substring(surrogate, F.aggregate(F.slice(kept, F.lit(1), i + 1), F.lit(0), lambda s, x: s + x), F.lit(1))).otherwise(c)), "")
+    # The n-th letter or digit of the value becomes the n-th of the surrogate; n is counted in what precedes it.
+    placed = F.struct(value.alias("v"), surrogate.alias("s"))
+    spaced = _once(placed, lambda p: F.array_join(F.transform(F.split(p["v"], ""), lambda c, i: F.when(c.rlike("[0-9A-Za-z]"), F.substring(p["s"], F.length(F.regexp_replace(F.substring(p["v"], F.lit(1), i + 1), "[^0-9A-Za-z]", "")), F.lit(1))).otherwise(c)), ""))
     return F.when(numbers, spaced).when((kind == "email") & (value == F.upper(value)), F.upper(surrogate)).otherwise(surrogate)
 
 

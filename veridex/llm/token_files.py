@@ -186,7 +186,8 @@ def _read(batches: Iterator[pa.RecordBatch], where: str, out: pa.Schema) -> Iter
 def read_shards(manifest: DataFrame, where: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, from the files."""
     fields = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
-    one_each = manifest.select("name", "start").repartition("name")
+    # A given number of tasks: by bytes of the manifest all files would be read by one.
+    one_each = manifest.select("name", "start").repartition(max(1, manifest.count()), "name")
     return one_each.mapInArrow(lambda b: _read(b, where, fields), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -117,7 +117,7 @@ def _copy(batches: Iterator[pa.RecordBatch], source: str, where: str) -> Iterato
 def replicate(manifest: DataFrame, source: str, where: str) -> None:
     """Copies the manifest's files to another folder."""
     files = manifest.select("file").distinct()
-    saved(files.repartition("file").mapInArrow(lambda b: _copy(b, source, where), "file string"), "copied")
+    saved(files.repartition(max(1, files.count()), "file").mapInArrow(lambda b: _copy(b, source, where), "file string"), "copied")
 
 
 def leaf(offset: int, data: bytes) -> bytes:
@@ -154,7 +154,8 @@ def _hash(batches: Iterator[pa.RecordBatch], where: str) -> Iterator[pa.RecordBa
 
 def leaves(manifest: DataFrame, where: str) -> DataFrame:
     """(file, pos, hash, whole) of each record as a replica has it; whole: it can be read and its own digest is right."""
-    ranges = manifest.select("file", "pos", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
+    tasks = max(1, manifest.select("file").distinct().count())  # a given number: ranges are few bytes, what they stand for is not
+    ranges = manifest.select("file", "pos", "offset", "length").repartition(tasks, "file").sortWithinPartitions("file", "offset")
     return saved(ranges.mapInArrow(lambda b: _hash(b, where), "file string, pos long, hash binary, whole boolean"), "leaves")
 
 
