@@ -32,8 +32,8 @@ WORDS, SIMILARITY = 5, 0.8
 #: A pair of similarity 0.8 shares none of 24 bands of 4 with a probability of (1 - 0.8 ** 4) ** 24 = 3e-6.
 BANDS, ROWS = 24, 4
 COORDINATES = BANDS * ROWS
-#: A pair of similarity 0.8 agrees on fewer than half of 96 coordinates with a probability under 1e-10.
-LIKELY = 0.5
+#: A pair of similarity 0.8 agrees on fewer than 0.6 of 96 coordinates with a probability of about 2e-6.
+LIKELY = 0.6
 #: Documents in a block of a bucket.
 BLOCK = 256
 _WHITE = np.zeros(0x110000, bool)
@@ -78,6 +78,21 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def as_set(bag: np.ndarray) -> np.ndarray:
+    """A sorted multiset as a sorted set: the n-th of equal elements becomes an element of its own."""
+    first = np.flatnonzero(np.append(True, bag[1:] != bag[:-1])) if len(bag) else np.zeros(0, np.int64)
+    nth = np.arange(len(bag)) - np.repeat(first, np.diff(np.append(first, len(bag))))
+    return np.sort(mix(bag + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+
+
+def set_similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets that are not empty."""
+    if len(a) > len(b):
+        a, b = b, a
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return both / (len(a) + len(b) - both)
+
+
 def _uniform(x: np.ndarray) -> np.ndarray:
     """(0, 1] from the high bits of a hash."""
     return ((x >> np.uint64(11)).astype(np.float64) + 1) / (1 << 53)
@@ -194,31 +209,42 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     return edges.selectExpr("u AS node", "v AS root").unionAll(edges.selectExpr("v AS node", "v AS root").distinct())
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], likely: float, out: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Pairs of two blocks whose classes differ and whose signatures agree often enough."""
+def _blocks(batches: Iterator[pa.RecordBatch], likely: float, least: float, out: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Links between two blocks that join different classes: likely pairs are checked exactly, the likeliest first.
+
+    A link that joins two classes makes further ones between them needless, so no more links are put out than the blocks have members.
+    """
     for batch in batches:
         for row in batch.to_pylist():
             x, y = row["x"], row["y"]
             sx, sy = (np.frombuffer(b"".join(m["sig"] for m in side), "<u4").reshape(len(side), -1) for side in (x, y))
-            agree = np.zeros((len(x), len(y)), np.int32)
+            agree = np.zeros((len(x), len(y)), np.int16)
             for j in range(sx.shape[1]):
                 agree += sx[:, j, None] == sy[None, :, j]
-            rx, ry = (np.array([m["root"] for m in side], object) for side in (x, y))
+            number = {r: k for k, r in enumerate(dict.fromkeys(m["root"] for m in [*x, *y]))}
+            rx, ry = (np.array([number[m["root"]] for m in side]) for side in (x, y))
+            fx, fy = ([as_set(np.frombuffer(m["f"], np.uint64)) for m in side] for side in (x, y))
+            up = np.arange(len(number))
+            links = []
             i, j = np.nonzero((agree >= likely * sx.shape[1]) & (rx[:, None] != ry[None, :]))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k]["node"] for k in i], pa.binary()), pa.array([y[k]["node"] for k in j], pa.binary())], schema=out)
+            order = np.argsort(-agree[i, j], kind="stable")
+            for p, q in zip(i[order].tolist(), j[order].tolist()):
+                a, b = up[rx[p]], up[ry[q]]
+                if a != b and set_similarity(fx[p], fy[q]) >= least:
+                    up[up == b] = a
+                    links.append((x[p]["node"], y[q]["node"]))
+            yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in links], pa.binary()), pa.array([v for _, v in links], pa.binary())], schema=out)
 
 
-def _residual(bands: DataFrame, roots: DataFrame, signed: DataFrame, likely: float) -> DataFrame:
-    """Likely pairs of different classes that share a bucket."""
+def _residual(bands: DataFrame, roots: DataFrame, signed: DataFrame, features: DataFrame, likely: float, least: float) -> DataFrame:
+    """Links of different classes that share a bucket."""
     known = bands.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-    mixed = known.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
-    rows = known.join(mixed, "band").join(signed.select("node", "sig"), "node")
-    # Blocks of neighbours by class; a bucket's members are numbered by a hash, not gathered.
-    sized = rows.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    blocks = rows.join(sized, "band").withColumn("block", block).groupBy("band", "block").agg(F.collect_list(F.struct("node", "root", "sig")).alias("m"))
+    mixed = known.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / BLOCK).alias("blocks")).where("lo <> hi").select("band", "blocks")
+    rows = saved(known.join(mixed, "band").join(signed.select("node", "sig"), "node").join(features, "node"), "mixed")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks"))  # a bucket's members are dealt by a hash, not gathered
+    blocks = rows.withColumn("block", block).groupBy("band", "block").agg(F.collect_list(F.struct("node", "root", "sig", "f")).alias("m"))
     left, right = blocks.selectExpr("band", "block AS i", "m AS x"), blocks.selectExpr("band", "block AS j", "m AS y")
-    return left.join(right, "band").where("i <= j").select("x", "y").mapInArrow(lambda b: _blocks(b, likely, _EDGES), _EDGE).selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct()
+    return left.join(right, "band").where("i <= j").select("x", "y").mapInArrow(lambda b: _blocks(b, likely, least, _EDGES), _EDGE).selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct()
 
 
 def _empty() -> Column:
@@ -236,7 +262,10 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     one = docs.select("node", "text").mapInArrow(lambda b: _sign(b, fields), "node binary, bands array<long>, sig binary")
     signed = saved(one.dropDuplicates(["node"]), "signatures")  # of equal texts any; map tasks drop theirs first
     bands = signed.select("node", F.explode("bands").alias("band"))
-    leaders = bands.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").select("band", "leader")
+    sizes = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    # A bucket's leader is the member whose buckets are largest: of a text and its changed copies, the text itself.
+    weight = bands.join(sizes, "band").groupBy("node").agg(F.sum("n").alias("w"))
+    leaders = saved(bands.join(sizes, "band").join(weight, "node").groupBy("band").agg(F.max(F.struct("w", "node")).alias("m")).select("band", F.col("m.node").alias("leader")), "leaders")
     stars = saved(bands.join(leaders, "band").where("node <> leader").selectExpr("node AS a", "leader AS b").distinct(), "stars")
     shared = bands.join(leaders, "band").select("node").distinct()
     some = docs.where(F.col("text").isNotNull()).join(shared, "node", "left_semi").select("node", "text").dropDuplicates(["node"])
@@ -244,7 +273,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     features = saved(some.mapInArrow(lambda b: _features(b, what), "node binary, f binary"), "features")
     links = saved(checked(stars, features, least), "links")
     roots = components(links, "roots")
-    more = saved(checked(_residual(bands, roots, signed, LIKELY), features, least), "links")
+    more = saved(_residual(bands, roots, signed, features, LIKELY, least), "links")
     if not more.isEmpty():
         roots = components(links.unionAll(more), "roots")
     # The least doc_id of each text, then of each class of texts; copies are summed up before they meet.
