@@ -116,7 +116,7 @@ def group_monthly_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rank_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    agg = _t(spark, sf_dir, "orders").groupBy(compat.trunc("month", F.col("o_orderdate")).alias("month"), "o_orderstatus").agg(F.round(F.avg("o_totalprice"), 4).alias("mean"))
+    agg = _t(spark, sf_dir, "orders").groupBy(compat.trunc("month", F.col("o_orderdate")).alias("month"), "o_orderstatus").agg(F.round(F.avg("o_totalprice"), 2).alias("mean"))
     return agg.withColumn("r", F.rank().over(Window.partitionBy("month").orderBy(F.desc_nulls_last("mean"))).cast("long"))
 
 
@@ -209,7 +209,7 @@ def result_schema_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 MORE = {
     "group_monthly_sum": (group_monthly_sum, "SELECT date_trunc('month', o_orderdate)::TIMESTAMP AS month, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1"),
-    "rank_monthly": (rank_monthly, "SELECT *, rank() OVER (PARTITION BY month ORDER BY mean DESC) AS r FROM (SELECT date_trunc('month', o_orderdate)::TIMESTAMP AS month, o_orderstatus, round(avg(o_totalprice), 4) AS mean FROM orders GROUP BY 1, 2)"),
+    "rank_monthly": (rank_monthly, "SELECT *, rank() OVER (PARTITION BY month ORDER BY mean DESC) AS r FROM (SELECT date_trunc('month', o_orderdate)::TIMESTAMP AS month, o_orderstatus, round(avg(o_totalprice), 2) AS mean FROM orders GROUP BY 1, 2)"),
     "date_parts": (date_parts, "SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, extract(hour FROM o_orderdate) AS h, dayofweek(o_orderdate) AS dow, o_orderdate::DATE AS day, strftime(o_orderdate, '%Y') AS text_year FROM orders"),
     "datediff_units": (datediff_units, "SELECT o_orderkey, " + ", ".join(f"datediff('{u}', TIMESTAMP '1995-01-01 23:00:00', o_orderdate) AS {u}s" for u in ("year", "month", "day", "hour", "second")) + " FROM orders"),
     "strip_accents": (strip_accents, f"SELECT doc_id, md5(translate(text, '{compat.ACCENTED}', '{compat.BARE}')) AS h FROM documents"),
