@@ -98,46 +98,59 @@ def _uniform(x: np.ndarray) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(np.float64) + 1) / (1 << 53)
 
 
-def cells(elements: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Regions of one unit of weight, and how much of the unit the element has (the last may be in part)."""
+def cells(elements: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Regions of one unit of weight, how much of the unit the element has (the last may be in part), and the element's place."""
     units = np.ceil(weights).astype(np.int64)
     which = np.repeat(np.arange(len(elements)), units)
     level = np.arange(len(which)) - np.repeat(np.cumsum(units) - units, units)
-    return mix(elements[which] + (level + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), np.minimum(1.0, weights[which] - level)
+    return mix(elements[which] + (level + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), np.minimum(1.0, weights[which] - level), which
 
 
-def signature(elements: np.ndarray, weights: np.ndarray, k: int = COORDINATES) -> np.ndarray:
-    """The dart of least rank at each of k coordinates, as a hash; elements: distinct 64-bit hashes, weights: positive."""
-    cell, part = cells(elements, weights)
-    total = float(part.sum())
-    best_rank, best = np.full(k, np.inf), np.zeros(k, np.uint64)
-    if not total:
-        return best
-    limit = (k * np.log(k) + 2 * k) / total
-    begin, nth = cell, 0
-    rank = -np.log(_uniform(mix(cell ^ np.uint64(0xD1B54A32D192ED03))))  # a region's darts are a Poisson process
-    while True:
-        thrown = np.flatnonzero(rank <= limit)
-        state, at, fit = begin[thrown], rank[thrown], part[thrown]
+def _waits(x: np.ndarray) -> np.ndarray:
+    """How far the next dart of a region is, by the hash of the one before: darts are a Poisson process."""
+    return -np.log(_uniform(mix(x ^ np.uint64(0xD1B54A32D192ED03))))
+
+
+def signatures(elements: np.ndarray, weights: np.ndarray, doc: np.ndarray, n: int, k: int = COORDINATES) -> np.ndarray:
+    """For each of n documents the dart of least rank at each of k coordinates, as a hash; a document without elements has zeros.
+
+    elements: 64-bit hashes, distinct in each document; weights: positive; doc: the document of each, from 0. All documents'
+    darts are thrown together; what a document gets does not depend on the others.
+    """
+    cell, part, which = cells(elements, weights)
+    owner = doc[which]
+    total = np.bincount(owner, part, n)
+    best_rank, best = np.full(n * k, np.inf), np.zeros(n * k, np.uint64)
+    limit = (k * np.log(k) + 2 * k) / np.where(total > 0, total, 1.0)
+    rank = _waits(cell)
+    for _ in range(21):
+        thrown = np.flatnonzero(rank <= limit[owner])
+        state, at, fit, who = cell[thrown], rank[thrown], part[thrown], owner[thrown]
         while len(state):
-            dart = mix(state + np.uint64(0xA0761D6478BD642F))
-            hit = _uniform(mix(dart ^ np.uint64(0x8EBC6AF09C88C6E3))) <= fit  # within the element's part of the unit
-            j = (mix(dart ^ np.uint64(0x589965CC75374CC3)) % np.uint64(k)).astype(np.int64)
-            order = np.lexsort((dart[hit], at[hit]))[::-1]
-            first = np.full(k, np.inf)
-            who = np.zeros(k, np.uint64)
-            first[j[hit][order]] = at[hit][order]
-            who[j[hit][order]] = dart[hit][order]
-            better = first < best_rank
-            best_rank[better], best[better] = first[better], who[better]
-            state = dart
-            at = at - np.log(_uniform(mix(state ^ np.uint64(0xD1B54A32D192ED03))))
-            more = at <= limit
-            state, at, fit = state[more], at[more], fit[more]
-        nth += 1
-        if np.isfinite(best_rank).all() or nth > 20:
-            return best
-        limit *= 2  # all darts again, to a larger rank; the least ranks stay
+            state = mix(state + np.uint64(0xA0761D6478BD642F))
+            hit = _uniform(mix(state ^ np.uint64(0x8EBC6AF09C88C6E3))) <= fit  # within the element's part of the unit
+            slot = who * k + (mix(state ^ np.uint64(0x589965CC75374CC3)) % np.uint64(k)).astype(np.int64)
+            near = np.flatnonzero(hit & (at < best_rank[slot]))
+            slot, there, dart = slot[near], at[near], state[near]
+            np.minimum.at(best_rank, slot, there)
+            won = np.flatnonzero(there == best_rank[slot])
+            best[slot[won]] = np.iinfo(np.uint64).max
+            np.minimum.at(best, slot[won], dart[won])  # of equal ranks the least dart
+            at = at + _waits(state)
+            more = np.flatnonzero(at <= limit[who])
+            state, at, fit, who = state[more], at[more], fit[more], who[more]
+        missed = ~np.isfinite(best_rank).reshape(n, k).all(axis=1)
+        again = missed[owner]
+        if not again.any():
+            break
+        cell, part, owner, rank = cell[again], part[again], owner[again], rank[again]
+        limit *= 2  # all darts of these again, to a larger rank; the least ranks stay
+    return best.reshape(n, k)
+
+
+def signature(elements: np.ndarray, weights: np.ndarray, k: int = COORDINATES) -> np.ndarray:
+    """The signature of one document."""
+    return signatures(elements, weights, np.zeros(len(elements), np.int64), 1, k)[0]
 
 
 def _sign(batches: Iterator[pa.RecordBatch], out: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -145,18 +158,21 @@ def _sign(batches: Iterator[pa.RecordBatch], out: pa.Schema) -> Iterator[pa.Reco
         rows, bands, sigs = [], [], []
         texts = batch.column("text").to_pylist()
         for a, b in slices([len(t or "") for t in texts], 1 << 20):
-            for i, s in enumerate(shingles([(t or "").replace(BETWEEN, " ") for t in texts[a:b]])):
-                if not len(s):
-                    continue
-                x, n = np.unique(s, return_counts=True)
-                sig = signature(x, n.astype(np.float64))
-                rows.append(a + i)
-                grid = sig.reshape(BANDS, ROWS)
-                key = np.arange(1, BANDS + 1, dtype=np.uint64)
-                for r in range(ROWS):
-                    key = mix(key * np.uint64(0x9E3779B97F4A7C15) + grid[:, r])
-                bands.append(key.view(np.int64))
-                sigs.append(sig.astype("<u4").tobytes())
+            bags = shingles([(t or "").replace(BETWEEN, " ") for t in texts[a:b]])
+            sizes = np.array([len(s) for s in bags])
+            filled = np.flatnonzero(sizes)
+            if not len(filled):
+                continue
+            every, doc = np.concatenate(bags), np.repeat(np.arange(len(filled)), sizes[filled])
+            first = np.flatnonzero(np.append(True, (every[1:] != every[:-1]) | (doc[1:] != doc[:-1])))
+            weights = np.diff(np.append(first, len(every))).astype(np.float64)
+            sig = signatures(every[first], weights, doc[first], len(filled))
+            key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(filled), BANDS))
+            for r in range(ROWS):
+                key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, r::ROWS])
+            rows += (a + filled).tolist()
+            bands.append(key.view(np.int64).ravel())
+            sigs += [s.tobytes() for s in sig.astype("<u4")]
         nodes = batch.column("node").take(pa.array(rows, pa.int64()))
         offsets = pa.array(np.arange(len(rows) + 1) * BANDS, pa.int32())
         values = pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64))
