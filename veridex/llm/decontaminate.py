@@ -3,7 +3,7 @@
 Passages are windows of twice as many words as the longest item has, so every item lies whole in one of them. A passage's
 distinct words are the query; all items whose score reaches THRESHOLD of their score for their own text are retrieved: scores
 are divided by that bar, so the bar is 1 for every item. Posting lists have blocks with their largest score, and WAND skips what
-cannot reach 1. Before that, array operations drop passages that hold too little of any item's essential words: an item's most
+cannot reach 1. Before that, array operations drop passages in which no item's essential words reach 1 - HALF: an item's most
 common words that together stay under HALF the bar are its other words.
 Retrieved items are verified: of both question (the first two thirds of the words) and answer (the rest), a share of OVERLAP has to stand
 in the passage in the same order.
@@ -16,6 +16,7 @@ a pass of its own with the word statistics of all.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -30,6 +31,8 @@ from veridex.llm.segments import BETWEEN, LETTER, NUMBER, classes, hashes, point
 K1, B = 1.2, 0.75
 THRESHOLD, HALF, OVERLAP = 0.5, 0.5, 0.8
 BLOCK = 8
+#: Postings that the array operations before the search add up at a time.
+POSTINGS = 1 << 21
 #: Bytes of item texts in one shard of the index; what is sent to the executors is a small multiple.
 SHARD_BYTES = 8 << 20
 
@@ -71,7 +74,7 @@ class Index:
         self.items = [(i, w) for i, w in ((i, words(t)) for i, t in sorted(items, key=lambda x: (x[0] is None, x[0], x[1] or ""))) if w]
         self.longest = max((len(w) for _, w in self.items), default=1)
         lists: dict[str, list[tuple[int, float]]] = defaultdict(list)
-        self.essential: set[str] = set()
+        essential: dict[str, list[tuple[int, float]]] = defaultdict(list)
         for k, (_, item) in enumerate(self.items):
             norm = K1 * (1 - B + B * len(item) / mean_length)
             score = {w: math.log(1 + (n_items - df[w] + 0.5) / (df[w] + 0.5)) * tf * (K1 + 1) / (tf + norm) for w, tf in Counter(item).items()}
@@ -81,63 +84,91 @@ class Index:
                 lists[w].append((k, x / bar))
                 left -= x / bar
                 if left < 0:
-                    self.essential.add(w)
+                    essential[w].append((k, x / bar))
         self.docs = {w: np.array([k for k, _ in p]).tolist() for w, p in lists.items()}
         self.scores = {w: [x for _, x in p] for w, p in lists.items()}
         self.most = {w: max(s) for w, s in self.scores.items()}
-        self.blocks = {w: [(max(s[i : i + BLOCK]), d[min(i + BLOCK, len(d)) - 1]) for i in range(0, len(d), BLOCK)] for w, d in self.docs.items() for s in (self.scores[w],)}
+        self.block_most = {w: [max(s[i : i + BLOCK]) for i in range(0, len(s), BLOCK)] for w, s in self.scores.items()}
         vocab = sorted(self.docs)
         joined = " ".join(vocab)
         begin, n, cp = word_spans(joined)
         h = hashes(cp, begin, n) if vocab else np.zeros(0, np.uint64)
         order = np.argsort(h)
         self.hashes, self.vocab = h[order], [vocab[i] for i in order]
-        self.weight = np.array([self.most[w] if w in self.essential else 0.0 for w in self.vocab])
+        flat = [essential.get(w, []) for w in self.vocab]
+        self.part_at = np.append(0, np.cumsum([len(p) for p in flat], dtype=np.int64))  # of each word, in the two that follow
+        self.part_item = np.array([k for p in flat for k, _ in p], np.int64)
+        self.part_score = np.array([x for p in flat for _, x in p], np.float64)
 
     def search(self, query: set[str]) -> list[tuple[int, float]]:
         """(item's place, score) of all items that reach the bar, by block-max WAND."""
-        terms = [w for w in query if w in self.docs]
-        at = dict.fromkeys(terms, 0)
+        terms = sorted(w for w in query if w in self.docs)
+        docs, scores, most, blocks = ([x[w] for w in terms] for x in (self.docs, self.scores, self.most, self.block_most))
+        n, at = len(terms), [0] * len(terms)
+        # The lists in the order of the items they stand at: item * n + list.
+        lists = sorted(d[0] * n + t for t, d in enumerate(docs))
         out: list[tuple[int, float]] = []
-        while terms:
-            terms.sort(key=lambda w: self.docs[w][at[w]])
-            bound, pivot = 0.0, None
-            for i, w in enumerate(terms):
-                bound += self.most[w]
+        while lists:
+            bound, pivot = 0.0, -1
+            for i, x in enumerate(lists):
+                bound += most[x % n]
                 if bound >= 1 - 1e-9:
                     pivot = i
                     break
-            if pivot is None:
+            if pivot < 0:
                 break
-            item = self.docs[terms[pivot]][at[terms[pivot]]]
-            while pivot + 1 < len(terms) and self.docs[terms[pivot + 1]][at[terms[pivot + 1]]] == item:
-                pivot += 1
-            bound, until = 0.0, len(self.items)
-            for w in terms[: pivot + 1]:
-                b = at[w] // BLOCK
-                blocks = self.blocks[w]
-                while b < len(blocks) and blocks[b][1] < item:
-                    b += 1
-                if b < len(blocks):
-                    bound += blocks[b][0]
-                    until = min(until, blocks[b][1] + 1)
-            if pivot + 1 < len(terms):
-                until = min(until, self.docs[terms[pivot + 1]][at[terms[pivot + 1]]])
-            if bound >= 1 - 1e-9 and self.docs[terms[0]][at[terms[0]]] == item:
-                score = sum(self.scores[w][at[w]] for w in sorted(terms[: pivot + 1]))
+            item = lists[pivot] // n
+            pivot = bisect_left(lists, (item + 1) * n)  # the lists before it stand at the item or before it
+            bound, until = 0.0, lists[pivot] // n if pivot < len(lists) else len(self.items)
+            for x in lists[:pivot]:
+                d = docs[x % n]
+                k = bisect_left(d, item, at[x % n])
+                if k < len(d):
+                    b = k // BLOCK
+                    bound += blocks[x % n][b]
+                    until = min(until, d[min(b * BLOCK + BLOCK, len(d)) - 1] + 1)
+            if bound >= 1 - 1e-9 and lists[0] // n == item:
+                score = sum(scores[x % n][at[x % n]] for x in lists[:pivot])
                 if score >= 1 - 1e-9:
                     out.append((item, score))
                 to = item + 1
             else:
                 to = item if bound >= 1 - 1e-9 else max(until, item + 1)
-            for w in terms[: pivot + 1]:
-                d, k = self.docs[w], at[w]
-                while k < len(d) and d[k] < to:
-                    k += 1
-                at[w] = k
-            terms = [w for w in terms if at[w] < len(self.docs[w])]
+            moved = []
+            for x in lists[:pivot]:
+                t = x % n
+                d = docs[t]
+                at[t] = k = bisect_left(d, to, at[t])
+                if k < len(d):
+                    moved.append(d[k] * n + t)
+            lists = sorted(moved + lists[pivot:])
         return out
 
+    def _hot(self, slot: np.ndarray, segment: np.ndarray, n_segments: int) -> np.ndarray:
+        """Of each segment, whether it and the next hold enough essential words of any item, or it alone, or the next alone.
+
+        slot: vocabulary places of words that have essential postings; segment: where these stand, ascending.
+        """
+        hot = np.zeros(n_segments + 1, bool)  # the last one is for what is before the first
+        cost = self.part_at[slot + 1] - self.part_at[slot]
+        per = np.bincount(segment, cost, n_segments).astype(np.int64)
+        begin = np.searchsorted(segment, np.arange(n_segments + 1))
+        n = len(self.items)
+        for a, b in slices(per.tolist(), POSTINGS):
+            # With the segment after these, which is the first one of the next run too.
+            i, j = begin[a], begin[min(b + 1, n_segments)]
+            if i == j:
+                continue
+            c = cost[i:j]
+            place = np.repeat(self.part_at[slot[i:j]] - (np.cumsum(c) - c), c) + np.arange(int(c.sum()))
+            key, back = np.unique(np.repeat(segment[i:j], c) * n + self.part_item[place], return_inverse=True)
+            value = np.bincount(back, self.part_score[place], len(key))
+            follow = np.minimum(np.searchsorted(key, key + n), len(key) - 1)
+            both = value + np.where(key[follow] == key + n, value[follow], 0.0)
+            hot[key[both >= 1 - HALF - 1e-6] // n] = True
+            hot[key[value >= 1 - HALF - 1e-6] // n - 1] = True
+        return hot[:n_segments]
+
     def passages(self, texts: list[str]) -> Iterator[tuple[int, list[str]]]:
         """(text's place, words) of the windows that hold enough essential words of any item."""
         size = 2 * self.longest
@@ -149,14 +180,19 @@ class Index:
         count = np.searchsorted(begin, ends)
         h = hashes(cp, begin, n)
         slot = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        total = np.append(0.0, np.cumsum(np.where(self.hashes[slot] == h, self.weight[slot], 0.0)))
         first = np.append(0, count[:-1])
-        windows = np.maximum(1, -(-(count - first) // self.longest) - 1)
+        # Segments of the longest item's length; a window is a segment and the next one of its text.
+        segments = np.maximum(1, -(-(count - first) // self.longest))
+        base = np.cumsum(segments) - segments
+        word = np.flatnonzero((self.hashes[slot] == h) & (self.part_at[slot + 1] > self.part_at[slot]))
+        owner = np.searchsorted(count, word, "right")
+        hot = self._hot(slot[word], base[owner] + (word - first[owner]) // self.longest, int(segments.sum()))
+        windows = np.maximum(1, segments - 1)
         text = np.repeat(np.arange(len(texts)), windows)
-        a = first[text] + (np.arange(len(text)) - np.repeat(np.cumsum(windows) - windows, windows)) * self.longest
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(windows) - windows, windows)
+        a = first[text] + nth * self.longest
         b = np.minimum(a + size, count[text])
-        hot = np.flatnonzero(total[b] - total[a] >= HALF - 1e-6)
-        for k in hot.tolist():
+        for k in np.flatnonzero(hot[base[text] + nth]).tolist():
             yield int(text[k]), [joined[x : x + y] for x, y in zip(begin[a[k] : b[k]].tolist(), n[a[k] : b[k]].tolist())]
 
     def verified(self, texts: list[str], overlap: float = OVERLAP) -> dict[tuple[int, int], tuple[float, float, float]]:
