@@ -380,6 +380,17 @@ def test_pii(spark, empty):
     assert pii.replaced(empty).count() == 0 and pii.replaced(empty).columns == empty.columns
 
 
+def test_pii_secrets(spark):
+    """Labels in any case, with a closing quote and white space; hex in capitals is the same secret."""
+    low = "9233a8ecf7c5b09fe5949719b6b82bc439e9329b"
+    rows = [(1, f'TOKEN = "{low.upper()}" token = "{low}"'), (2, f'Password: hunter2hunter2, {{"password": "hunter3hunter3", "Api-Key"\t:\n "{low.upper()}"}}')]
+    out = {r["doc_id"]: r["text"] for r in pii.replaced(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    up, down = re.fullmatch(r'TOKEN = "([0-9A-F]{40})" token = "([0-9a-f]{40})"', out[1]).groups()
+    assert up.lower() == down != low
+    m = re.fullmatch(r'Password: (\w{14}), \{"password": "(\w{14})", "Api-Key"\t:\n "(\w{40})"\}', out[2])
+    assert m[1] != "hunter2hunter2" and m[2] != "hunter3hunter3" and m[3] == up
+
+
 def test_pii_collisions(spark):
     """Three-digit numbers collide often; all end up different, and none is a number of the corpus."""
     found = spark.createDataFrame([("phone", f"{i:03d}") for i in range(0, 1000, 25)], "kind string, canon string")

@@ -1,7 +1,7 @@
 """Operator 9: PII is replaced by surrogates, in DataFrame functions only.
 
 One expression finds the entities of all types. Each gets a surrogate that a keyed hash draws from its type and its canonical
-form (e-mail addresses in lower case, numbers without their separators): the same entity has the same surrogate
+form (e-mail addresses and hex secrets in lower case, numbers without their separators): the same entity has the same surrogate
 wherever and however it is written, and the surrogate is written as the occurrence is: its separators, its case, its number
 of digits; a given name keeps the gender that its title tells, and a name its script. Surrogates of all distinct entities
 are compared over the whole corpus: where two entities drew the same one, or one drew what is itself an entity
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from veridex.llm.common import saved, table
 
 KEY = "veridex surrogate key 1"
+_UPPER_HEX = "^[0-9]*[A-F][0-9A-F]*$"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _FEMALE = r"Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Doña|госпожа"
 _MALE = r"Mr|Herr|Monsieur|Señor|Sr|Don|господин"
@@ -40,7 +41,7 @@ class Kind:
 KINDS = (
     Kind("email", r"[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}", ""),
     Kind("key", r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])|gh[pousr]_[A-Za-z0-9]{20,255}|eyJ[A-Za-z0-9_-]{10,2000}\.[A-Za-z0-9_-]{10,2000}\.[A-Za-z0-9_-]{10,2000}", ""),
-    Kind("secret", r"""(?<=(?:password|passwd|pwd|secret|token|api_key|apikey)[ ]{0,2}[=:][ ]{0,2}["']?)[A-Za-z0-9+/_=.-]{8,512}(?<![.=])""", ""),
+    Kind("secret", r"""(?<=(?i:password|passwd|pwd|secret|token|api[_-]?key)["']?\s{0,4}[=:]\s{0,4}["']?)[A-Za-z0-9+/_=.-]{8,512}(?<![.=])""", ""),
     Kind("ipv4", rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)", r"[^0-9.]"),
     Kind("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", r"[^0-9]"),
     Kind("iban", r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)", r"[^0-9A-Z]"),
@@ -76,7 +77,8 @@ def _entity(kind: Column, value: Column) -> Column:
     for k in KINDS:
         if k.core:
             canon = F.when(kind == k.name, F.regexp_replace(value, k.core, "")).otherwise(canon)
-    return F.struct(kind.alias("kind"), value.alias("value"), F.when(kind == "email", F.lower(value)).otherwise(canon).alias("canon"))
+    lower = (kind == "email") | (kind == "secret") & value.rlike(_UPPER_HEX)
+    return F.struct(kind.alias("kind"), value.alias("value"), F.when(lower, F.lower(value)).otherwise(canon).alias("canon"))
 
 
 def entities(text: Column) -> Column:
@@ -157,7 +159,7 @@ def written(kind: Column, value: Column, surrogate: Column) -> Column:
     # The n-th letter or digit of the value becomes the n-th of the surrogate; n is counted in what precedes it.
     placed = F.struct(value.alias("v"), surrogate.alias("s"))
     spaced = _once(placed, lambda p: F.array_join(F.transform(F.split(p["v"], ""), lambda c, i: F.when(c.rlike("[0-9A-Za-z]"), F.substring(p["s"], F.length(F.regexp_replace(F.substring(p["v"], F.lit(1), i + 1), "[^0-9A-Za-z]", "")), F.lit(1))).otherwise(c)), ""))
-    return F.when(numbers, spaced).when((kind == "email") & (value == F.upper(value)), F.upper(surrogate)).otherwise(surrogate)
+    return F.when(numbers, spaced).when((kind == "email") & (value == F.upper(value)) | (kind == "secret") & value.rlike(_UPPER_HEX), F.upper(surrogate)).otherwise(surrogate)
 
 
 def redrawn(found: DataFrame, key: str = KEY) -> DataFrame:
