@@ -3,7 +3,14 @@
 One expression finds the entities of all types. Each gets a surrogate that a keyed hash draws from its type and its canonical
 form (e-mail addresses and hex secrets in lower case, numbers without their separators): the same entity has the same surrogate
 wherever and however it is written, and the surrogate is written as the occurrence is: its separators, its case, its number
-of digits; a given name keeps the gender that its title tells, and a name its script. Surrogates of all distinct entities
+of digits; a name keeps its script.
+
+Names are found after a title and replaced part by part, so 'Dr Anna Weber', 'Ms Weber' and, in a document that has one of
+them, 'Weber' alone share their surrogates. All words of a name but the last are given names, and a word that is one anywhere
+is one everywhere; it keeps the gender that the titles before it tell, unless they disagree. Particles stay as they are.
+Initials become letters, which are not compared. A name of a document that is an ordinary word, too, is replaced as that.
+
+Surrogates of all distinct entities
 are compared over the whole corpus: where two entities drew the same one, or one drew what is itself an entity
 of the corpus, all but the first draw again, until all differ.
 
@@ -26,7 +33,21 @@ _UPPER_HEX = "^[0-9]*[A-F][0-9A-F]*$"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _FEMALE = r"Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Doña|госпожа"
 _MALE = r"Mr|Herr|Monsieur|Señor|Sr|Don|господин"
-_NAME = r"\p{Lu}\p{Ll}{1,30}(?:[ -]\p{Lu}\p{Ll}{1,30})?"
+_NEITHER = "Dr|Prof"
+_SPACE = r"[ \u00a0]"
+_END = r"(?![\p{L}\p{M}\p{N}_])"
+_TITLE = rf"(?:{_FEMALE}|{_MALE}|{_NEITHER}){_END}"
+#: A word of a name: capitals and apostrophes within, but no 's or the like at the end.
+_PART = r"\p{Lu}(?:['’]\p{Lu})?[\p{L}\p{M}]{1,80}(?:['’](?!(?:s|ll|d|re|ve)(?![\p{L}\p{M}]))[\p{L}\p{M}]{1,80}){0,3}"
+_INITIALS = rf"(?:\p{{Lu}}(?:\.{_SPACE}?|{_SPACE})){{0,4}}"
+_PARTICLES = rf"(?:(?:von|van|der|den|de|la|las|los|del|della|di|da|dos|das|du|le|zu|zum|zur|ter|ten|bin|ibn|y){_SPACE}|[dl]['’]|al-|el-){{0,3}}"
+_NAME = rf"(?!{_TITLE}){_PARTICLES}{_INITIALS}{_PART}(?:(?:{_SPACE}{_PARTICLES}|-)(?!{_TITLE}){_INITIALS}{_PART}){{0,30}}"
+
+
+def _after(titles: str) -> str:
+    gap = r"\.?[\s\u00a0]{1,2}"
+    more = rf"(?:{_NEITHER}){gap}"  # Java looks behind by no repeated group
+    return rf"(?<=[\s\u00a0])(?=\p{{L}})(?<=(?<![\p{{L}}\p{{M}}\p{{N}}_])(?:{titles}){gap}(?:{more}(?:{more}(?:{more})?)?)?)"
 
 
 @dataclass(frozen=True)
@@ -41,17 +62,24 @@ class Kind:
 KINDS = (
     Kind("email", r"[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}", ""),
     Kind("key", r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])|gh[pousr]_[A-Za-z0-9]{20,255}|eyJ[A-Za-z0-9_-]{10,2000}\.[A-Za-z0-9_-]{10,2000}\.[A-Za-z0-9_-]{10,2000}", ""),
-    Kind("secret", r"""(?<=(?i:password|passwd|pwd|secret|token|api[_-]?key)["']?\s{0,4}[=:]\s{0,4}["']?)[A-Za-z0-9+/_=.-]{8,512}(?<![.=])""", ""),
+    Kind("secret", r"""(?<=[=:\s"'])(?<=[=:]\s{0,4}["']?)(?<=(?i:password|passwd|pwd|secret|token|api[_-]?key)["']?\s{0,4}[=:]\s{0,4}["']?)[A-Za-z0-9+/_=.-]{8,512}(?<![.=])""", ""),
     Kind("ipv4", rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)", r"[^0-9.]"),
     Kind("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", r"[^0-9]"),
     Kind("iban", r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)", r"[^0-9A-Z]"),
     Kind("card", r"(?<![\w.+-])(?:\d{4}[ -]?){3}\d{1,7}(?![\w-])", r"[^0-9]"),
     Kind("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)|(?<![\w.+-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])", r"[^0-9]"),
-    Kind("woman", rf"(?<=\b(?:{_FEMALE})\.? ){_NAME}", ""),
-    Kind("man", rf"(?<=\b(?:{_MALE})\.? ){_NAME}", ""),
-    Kind("person", rf"(?<=\b(?:Dr|Prof)\.? ){_NAME}", ""),
+    Kind("woman", _after(_FEMALE) + _NAME, ""),
+    Kind("man", _after(_MALE) + _NAME, ""),
+    Kind("person", _after(_NEITHER) + _NAME, ""),
 )
 PATTERN = "|".join(f"({k.pattern})" for k in KINDS)
+#: Kinds of the words of names; a mention has no title, its kind is that of the same word after one.
+_GIVENS = ("woman", "man", "person")
+_NAMES = (*_GIVENS, "name", "mention")
+_ALL = (*(k.name for k in KINDS), "name", "mention", "initial")
+_MARK, _FIELD = "\x1e", "\x1f"
+#: Marks that the text itself has.
+_ESCAPES = (("\x1c", "\x1c\x0e"), (_MARK, "\x1c\x0f"), (_FIELD, "\x1c\x10"))
 _GIVEN = {
     ("woman", "latin"): "Anna Clara Elena Greta Helena Irene Julia Laura Maria Nora Paula Rosa Sofia Teresa Vera Yvonne",
     ("man", "latin"): "Adam Bruno Carl Daniel Emil Felix Georg Hugo Ivan Jonas Karl Leon Martin Oscar Paul Simon",
@@ -77,23 +105,60 @@ def _entity(kind: Column, value: Column) -> Column:
     for k in KINDS:
         if k.core:
             canon = F.when(kind == k.name, F.regexp_replace(value, k.core, "")).otherwise(canon)
+    canon = F.when(kind.isin(*_NAMES, "initial"), F.lower(F.translate(value, "’", "'"))).otherwise(canon)
     lower = (kind == "email") | (kind == "secret") & value.rlike(_UPPER_HEX)
     return F.struct(kind.alias("kind"), value.alias("value"), F.when(lower, F.lower(value)).otherwise(canon).alias("canon"))
 
 
-def entities(text: Column) -> Column:
-    """Array of (kind, value, canon) of the entities in order."""
-    groups = [F.regexp_extract_all(text, F.lit(PATTERN), i + 1) for i in range(len(KINDS))]
-    whole = F.regexp_extract_all(text, F.lit(PATTERN), 0)
+def _marks(groups: dict[str, int]) -> str:
+    """A replacement that puts marks around a match, and the groups of a pattern into the fields of their kinds."""
+    return _MARK + _FIELD.join(f"${groups[k]}" if k in groups else "" for k in _ALL) + _MARK
+
+
+def _kind(piece: Column) -> Column:
+    return F.array(*(F.lit(k) for k in _ALL))[F.length(F.regexp_extract(piece, f"^{_FIELD}*", 0))]
+
+
+def _value(piece: Column) -> Column:
+    return F.translate(piece, _FIELD, "")
+
+
+def _is_name(piece: Column, i: Column) -> Column:
+    return (i % 2 == 1) & _kind(piece).isin(*_GIVENS)
+
+
+def _named(pieces: Column) -> Column:
+    """The text of pieces, with marks around each word of its names, wherever it stands."""
+    parts = F.array_distinct(F.regexp_extract_all(F.array_join(F.transform(F.filter(pieces, _is_name), _value), " "), F.lit(_PART), 0))
+    forms = F.array_distinct(F.concat(parts, F.transform(parts, F.upper), F.transform(parts, lambda p: F.initcap(F.lower(p)))))
+    word = F.concat(F.lit(r"(?<![\p{L}\p{M}\p{N}_])(?=\p{Lu})(?:"), F.regexp_replace(F.array_join(forms, "|"), "['’]", "['’]"), F.lit(rf"){_END}"))
+
+    def marked(p: Column, word: Column) -> Callable[[Column, Column], Column]:
+        def split(x: Column, i: Column) -> Column:
+            words = F.lit(None).cast("string")
+            for k in _GIVENS:
+                pattern = rf"({_PART})(?=.*{_SPACE})|({_PART})|(\p{{Lu}})"
+                words = F.when(_kind(x) == k, F.regexp_replace(_value(x), pattern, _marks({k: 1, "name": 2, "initial": 3}))).otherwise(words)
+            return F.when(i % 2 == 0, F.regexp_replace(x, word, F.lit(_marks({"mention": 0})))).otherwise(F.coalesce(words, F.concat(F.lit(_MARK), x, F.lit(_MARK))))
+
+        return split
+
+    both = F.struct(pieces.alias("p"), word.alias("w"))
+    return _once(both, lambda b: F.array_join(F.transform(b["p"], marked(b["p"], b["w"])), ""))
+
+
+def marked(text: Column) -> Column:
+    """text with marks around its entities, which are in the fields of their kinds; null if it has none."""
+    for a, b in _ESCAPES:
+        text = F.replace(text, F.lit(a), F.lit(b))
+    found = F.regexp_replace(text, PATTERN, _marks({k.name: i + 1 for i, k in enumerate(KINDS)}))
+    named = lambda p: F.when(F.exists(F.transform(p, _is_name), lambda x: x), _named(p)).otherwise(F.array_join(p, _MARK))
+    return _once(found, lambda m: F.when(m.contains(_MARK), _once(F.split(m, _MARK, -1), named)))
 
-    def of(s: Column, v: Column, i: Column) -> Column:
-        found = F.lit(KINDS[-1].name)
-        for n, k in reversed(list(enumerate(KINDS[:-1]))):
-            found = F.when(F.get(s[f"g{n}"], i) != "", F.lit(k.name)).otherwise(found)
-        return _entity(found, v)
 
-    found = F.struct(whole.alias("w"), *(g.alias(f"g{n}") for n, g in enumerate(groups)))
-    return _once(found, lambda s: F.transform(s["w"], lambda v, i: of(s, v, i)))
+def _class(kind: Column) -> Column:
+    """What the surrogates of a kind are compared with."""
+    return F.when(kind.isin(*_NAMES), "name").otherwise(kind)
 
 
 def _digest(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
@@ -120,10 +185,10 @@ def _alike(value: Column, digest: Column, since: int = 0) -> Column:
 
 def drawn(kind: Column, canon: Column, attempt: Column, key: str = KEY) -> Column:
     """The canonical form of the surrogate."""
-    return _once(_digest(kind, canon, attempt, key), lambda d: _drawn(kind, canon, d))
+    return _once(_digest(kind, canon, attempt, key), lambda d: _drawn(kind, canon, attempt, d))
 
 
-def _drawn(kind: Column, canon: Column, d: Column) -> Column:
+def _drawn(kind: Column, canon: Column, attempt: Column, d: Column) -> Column:
     local, domain = F.substring_index(canon, "@", 1), F.substring_index(canon, "@", -1)
     # At least ten drawn characters; labels in front of the last two are kept in number; example.* belongs to no one.
     tail = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(10)), lambda i: F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), _byte(d, i + 100) % 26 + 1, F.lit(1))), "")
@@ -141,12 +206,13 @@ def _drawn(kind: Column, canon: Column, d: Column) -> Column:
     script = F.when(canon.rlike(r"^\p{IsCyrillic}"), "cyrillic").otherwise("latin")
     names = F.lit(None).cast("string")
     for s in ("latin", "cyrillic"):
-        last = F.initcap(F.concat(*(_pick(_SYLLABLES[s], _byte(d, i)) for i in (0, 1, 2, 3, 4))))
-        for who in ("woman", "man", "person"):
-            first = _pick(_GIVEN[who, s], _byte(d, 8))
-            # One name stays one, with the given name's first syllables kept by the sign between them.
-            both = F.when(canon.rlike("[ -]"), F.concat(first, F.regexp_extract(canon, "([ -])", 1), last)).otherwise(last)
-            names = F.when((kind == who) & (script == s), both).otherwise(names)
+        syllables = [_pick(_SYLLABLES[s], _byte(d, i)) for i in range(5)]
+        names = F.when((kind == "name") & (script == s), F.concat(*syllables)).otherwise(names)
+        names = F.when((kind == "initial") & (script == s), _pick(" ".join(sorted({x[0] for x in _SYLLABLES[s].split()})), _byte(d, 0))).otherwise(names)
+        for who in _GIVENS:
+            # Lists are short: who draws again gets a longer name.
+            given = F.concat(F.lower(_pick(_GIVEN[who, s], _byte(d, 8))), F.when(attempt > 0, F.concat(*syllables[:3])).otherwise(""))
+            names = F.when((kind == who) & (script == s), given).otherwise(names)
     return (
         F.when(kind == "email", email).when(kind == "key", key_like).when((kind == "secret") & canon.rlike("^[0-9a-f]{1,256}$"), F.substring(d, F.lit(1), F.length(canon))).when(kind == "secret", _alike(canon, d)).when(kind == "ipv4", ip).when(kind == "iban", iban)
         .when(kind == "card", card).when(kind == "phone", phone).when(kind == "ssn", _alike(canon, d)).otherwise(names)
@@ -154,22 +220,23 @@ def _drawn(kind: Column, canon: Column, d: Column) -> Column:
 
 
 def written(kind: Column, value: Column, surrogate: Column) -> Column:
-    """The surrogate as the occurrence is written: its separators; an address in capitals stays in capitals."""
+    """The surrogate as the occurrence is written: its separators; an address or a name in capitals stays in capitals."""
     numbers = kind.isin("ssn", "card", "phone", "iban")
     # The n-th letter or digit of the value becomes the n-th of the surrogate; n is counted in what precedes it.
     placed = F.struct(value.alias("v"), surrogate.alias("s"))
     spaced = _once(placed, lambda p: F.array_join(F.transform(F.split(p["v"], ""), lambda c, i: F.when(c.rlike("[0-9A-Za-z]"), F.substring(p["s"], F.length(F.regexp_replace(F.substring(p["v"], F.lit(1), i + 1), "[^0-9A-Za-z]", "")), F.lit(1))).otherwise(c)), ""))
-    return F.when(numbers, spaced).when((kind == "email") & (value == F.upper(value)) | (kind == "secret") & value.rlike(_UPPER_HEX), F.upper(surrogate)).otherwise(surrogate)
+    capitals = (F.length(value) > 1) & (value == F.upper(value))
+    return F.when(kind.isin(*_NAMES, "initial"), F.when(capitals, F.upper(surrogate)).otherwise(F.initcap(surrogate))).when(numbers, spaced).when((kind == "email") & (value == F.upper(value)) | (kind == "secret") & value.rlike(_UPPER_HEX), F.upper(surrogate)).otherwise(surrogate)
 
 
 def redrawn(found: DataFrame, key: str = KEY) -> DataFrame:
     """(kind, canon, attempt) of the entities that have to draw again, for distinct entities (kind, canon)."""
     state = found.withColumn("attempt", F.lit(0))
     while True:
-        now = saved(state.withColumn("surrogate", drawn(F.col("kind"), F.col("canon"), F.col("attempt"), key)), "surrogates")
-        first = now.groupBy("kind", "surrogate").agg(F.min("canon").alias("first"), F.count("*").alias("n"))
-        twice = now.join(first.where("n > 1"), ["kind", "surrogate"]).where("canon <> first").select("kind", "canon")
-        real = now.join(now.selectExpr("kind", "canon AS surrogate"), ["kind", "surrogate"], "left_semi").select("kind", "canon")
+        now = saved(state.withColumn("surrogate", drawn(F.col("kind"), F.col("canon"), F.col("attempt"), key)).withColumn("class", _class(F.col("kind"))), "surrogates")
+        first = now.groupBy("class", "surrogate").agg(F.min("canon").alias("first"), F.count("*").alias("n"))
+        twice = now.join(first.where("n > 1"), ["class", "surrogate"]).where("canon <> first").select("kind", "canon")
+        real = now.join(now.selectExpr("class", "canon AS surrogate"), ["class", "surrogate"], "left_semi").select("kind", "canon")
         again = saved(twice.unionAll(real).distinct().withColumn("again", F.lit(1)), "again")
         if again.isEmpty():
             return now.where("attempt > 0").select("kind", "canon", "attempt")
@@ -179,24 +246,37 @@ def redrawn(found: DataFrame, key: str = KEY) -> DataFrame:
 def replaced(docs: DataFrame, text_col: str = "text", key: str = KEY, count_col: str | None = None) -> DataFrame:
     """docs with surrogates in its text; count_col: a further column with the number of entities."""
     names = docs.columns
-    has = F.coalesce(F.col(f"`{text_col}`").rlike(PATTERN), F.lit(False))
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col(f"`{text_col}`").alias("t"), has.alias("has"))
-    hits = packed.where("has").select("row", F.split("t", PATTERN, -1).alias("gaps"), entities(F.col("t")).alias("found"), F.monotonically_increasing_id().alias("rid"))
-    hits = saved(hits, "hits")
-    each = hits.select("rid", F.explode("found").alias("e")).select("rid", "e.kind", "e.canon")
-    again = redrawn(each.select("kind", "canon").distinct(), key)
-    tried = each.distinct().join(again, ["kind", "canon"]).groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\x1f", "kind", "canon"), "attempt"))).alias("tried"))
+    text = F.col(f"`{text_col}`")
+    packed = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), marked(text).alias("m"), F.monotonically_increasing_id().alias("rid"))
+    packed = saved(packed, "marked")
+    # Gaps and entities by turns.
+    pieces = F.split("m", _MARK, -1)
+    gaps, found = F.filter(pieces, lambda x, i: i % 2 == 0), F.transform(F.filter(pieces, lambda x, i: i % 2 == 1), lambda x: _entity(_kind(x), _value(x)))
+    hits = packed.where("m IS NOT NULL").withColumn("gaps", gaps).withColumn("found", found)
+    each = hits.select("rid", F.explode("found").alias("e")).select("rid", _class(F.col("e.kind")).alias("class"), "e.kind", "e.canon").where("kind <> 'initial'")
+    told = [F.max(F.col("kind") == k).alias(k) for k in _GIVENS]
+    kind = F.when(F.col("class") != "name", F.col("class")).when(~F.col("woman") & ~F.col("man") & ~F.col("person"), "name")
+    kind = kind.when(F.col("woman") & ~F.col("man"), "woman").when(F.col("man") & ~F.col("woman"), "man").otherwise("person")
+    known = saved(each.groupBy("class", "canon").agg(*told).select("class", "canon", kind.alias("kind")), "entities")
+    again = redrawn(known.select("kind", "canon"), key)
+    known = known.join(again, ["kind", "canon"], "left").where("class = 'name' OR attempt > 0").select("class", "canon", F.struct("kind", F.coalesce("attempt", F.lit(0)).alias("attempt")).alias("as"))
+    tried = each.select("rid", "class", "canon").distinct().join(known, ["class", "canon"]).groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(_FIELD, "class", "canon"), "as"))).alias("tried"))
 
     def new(e: Column) -> Column:
-        attempt = F.coalesce(F.try_element_at(F.col("tried"), F.concat_ws("\x1f", e["kind"], e["canon"])), F.lit(0))
-        return written(e["kind"], e["value"], drawn(e["kind"], e["canon"], attempt, key))
-
-    text = F.array_join(F.flatten(F.zip_with("gaps", F.transform("found", new), lambda g, s: F.array(g, F.coalesce(s, F.lit(""))))), "")
-    changed = hits.join(tried, "rid", "left").select("row", text.alias("t"), F.size("found").alias("n"))
-    rest = packed.where("NOT has").select("row", "t", F.lit(0).alias("n"))
-    out = changed.unionAll(rest)
-    columns = [F.col("t").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in names]
-    return out.select(*columns, *([F.col("n").alias(count_col)] if count_col else []))
+        def drawn_as(a: Column) -> Column:
+            as_kind = F.coalesce(a["kind"], e["kind"])
+            return written(as_kind, e["value"], drawn(as_kind, e["canon"], F.coalesce(a["attempt"], F.lit(0)), key))
+
+        return _once(F.try_element_at(F.col("tried"), F.concat_ws(_FIELD, _class(e["kind"]), e["canon"])), drawn_as)
+
+    joined = F.array_join(F.flatten(F.zip_with("gaps", F.transform("found", new), lambda g, s: F.array(g, F.coalesce(s, F.lit(""))))), "")
+    for a, b in reversed(_ESCAPES):
+        joined = F.replace(joined, F.lit(b), F.lit(a))
+    columns = [f"c{i}" for i in range(len(names))]
+    at = columns[names.index(text_col)]
+    changed = hits.join(tried, "rid", "left").select(*(joined.alias(c) if c == at else c for c in columns), F.size("found").alias("n"))
+    out = changed.unionAll(packed.where("m IS NULL").select(*columns, F.lit(0).alias("n")))
+    return out.select(*(F.col(c).alias(name) for c, name in zip(columns, names)), *([F.col("n").alias(count_col)] if count_col else []))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
