@@ -232,6 +232,15 @@ def test_local_search_raises_squared_fill():
         assert squared(bins) >= squared(start) and len(bins) <= len(start)
 
 
+def test_local_search_two_for_one():
+    """From any emptier sequence, of two equal pieces, and for less than the whole gap; ten emptier ones have nothing that fits."""
+    for other, fullest in ((10, 100), (9, 99)):
+        sizes = [80, 16, 10, other, 41, *[43] * 10]
+        bins = packing.local_search([[0, 1], [2, 3, 4], *([i] for i in range(5, 15))], sizes, 100)
+        assert fullest in [sum(sizes[i] for i in b) for b in bins]
+        assert sorted(i for b in bins for i in b) == list(range(15))
+
+
 # 5
 
 

@@ -15,7 +15,7 @@ a sequence are cut: the pieces after the first are full.
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -80,15 +80,14 @@ def best_fit(sizes: list[int], length: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], sizes: list[int], length: int, rounds: int = 8) -> list[list[int]]:
+def local_search(bins: list[list[int]], sizes: list[int], length: int) -> list[list[int]]:
     """Moves, one-for-one and two-for-one exchanges between underfull sequences that raise the sum of squared fills.
 
-    Each round fills the fullest of them first, from the emptier ones; it ends when a round changes nothing. `rounds` bounds
-    the time, not what may be exchanged.
+    Each round fills the fullest of them first, from the emptier ones; the search ends when a round changes nothing.
     """
     done = [b for b in bins if sum(sizes[i] for i in b) == length]
     left = [b for b in bins if b and sum(sizes[i] for i in b) < length]
-    for _ in range(rounds):
+    while True:
         left.sort(key=lambda b: -sum(sizes[i] for i in b))
         fill = [sum(sizes[i] for i in b) for b in left]
         where: dict[int, set[int]] = defaultdict(set)  # size -> sequences that have a piece of it
@@ -96,6 +95,23 @@ def local_search(bins: list[list[int]], sizes: list[int], length: int, rounds: i
             for i in b:
                 where[sizes[i]].add(k)
         changed = False
+        sums: dict[int, int] = {}  # sequence -> bits: what two of its pieces sum to
+        reach = 0  # bits: sums of two in any sequence, now or before
+
+        def pair_sums(k: int) -> int:
+            nonlocal reach
+            if k not in sums:
+                counts = Counter(sizes[i] for i in left[k])
+                has = sum(1 << n for n in counts)
+                found = 0
+                for n, c in counts.items():
+                    found |= (has if c > 1 else has ^ 1 << n) << n
+                sums[k] = found
+                reach |= found
+            return sums[k]
+
+        for k in range(len(left)):
+            pair_sums(k)
 
         def shift(take: list[int], donor: int, give: list[int], to: int) -> None:
             for i in take:
@@ -106,6 +122,8 @@ def local_search(bins: list[list[int]], sizes: list[int], length: int, rounds: i
             left[to] += take
             for k in (donor, to):
                 fill[k] = sum(sizes[i] for i in left[k])
+                del sums[k]
+                pair_sums(k)
             for i in [*take, *give]:
                 for k in (donor, to):
                     if any(sizes[j] == sizes[i] for j in left[k]):
@@ -120,6 +138,30 @@ def local_search(bins: list[list[int]], sizes: list[int], length: int, rounds: i
             """The emptiest sequence that has a piece of n and is no fuller than `to`."""
             return max((k for k in where.get(n, ()) if k > to and fill[k] <= fill[to] and fill[k]), default=None)
 
+        def two(to: int, gap: int, above: int, held: list[int]) -> tuple[int, list[int], int, list[int]] | None:
+            """The exchange of two for one with the highest gain over `above`, from the emptiest sequence that has it."""
+            mask, best, most = (2 << gap) - 1, None, 0
+            for small in held:
+                most = max(most, (reach >> small & mask).bit_length() - 1)
+            for k in range(len(left) - 1, to, -1):
+                if above >= most:
+                    break
+                if not fill[k] or fill[k] > fill[to]:
+                    continue
+                for small in held:
+                    gain = (sums[k] >> small & mask).bit_length() - 1
+                    if gain > above:
+                        above, best = gain, (k, small)
+            if best is None:
+                return None
+            k, small = best
+            seen: dict[int, int] = {}
+            for j in left[k]:
+                if (i := seen.get(small + above - sizes[j])) is not None:
+                    return above, [i, j], k, [piece(to, small)]
+                seen[sizes[j]] = j
+            raise AssertionError("sums of two are out of date")
+
         for to in range(len(left)):
             while fill[to] and (gap := length - fill[to]):
                 best: tuple[int, list[int], int, list[int]] | None = None  # gain of fill, take, donor, give
@@ -137,15 +179,7 @@ def local_search(bins: list[list[int]], sizes: list[int], length: int, rounds: i
                         if best and best[0] == gap:
                             break
                 if best is None or best[0] < gap:
-                    for k in range(len(left) - 1, max(to, len(left) - 9), -1):  # two of an emptier one for one
-                        if not fill[k] or fill[k] > fill[to]:
-                            continue
-                        have = {sizes[i]: i for i in left[k]}
-                        for small in held:
-                            for n, i in have.items():
-                                j = have.get(small + gap - n)
-                                if j is not None and j != i and (best is None or best[0] < gap):
-                                    best = (gap, [i, j], k, [piece(to, small)])
+                    best = two(to, gap, best[0] if best else 0, held) or best
                 if best is None:
                     break
                 shift(*best[1:], to)
