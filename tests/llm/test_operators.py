@@ -17,6 +17,7 @@ from veridex.llm import decontaminate, near_dup, packing, pii, quality_rules, re
 from veridex.llm.common import work_dir
 from veridex.llm.segments import vocabulary
 
+KEY = "a key"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DDL = "doc_id long, text string, n_words string, `row` int, votes int"
 
@@ -373,7 +374,7 @@ def test_pii(spark, empty):
     clean = "nothing 1.2.3 2024-01-02 3,000,000 a@b x=1 token of 12 words"
     rows = [(1, text, "x"), (2, code, "y"), (3, None, "z"), (4, "", "z"), (5, clean, "q"), (6, text * 300, "w"), (1, text, "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, `found.t` string")
-    out = pii.replaced(df, count_col="n").collect()
+    out = pii.replaced(df, KEY, count_col="n").collect()
     got = {r["doc_id"]: r for r in out}
     assert len(out) == 7 and got[5]["text"] == clean and got[3]["text"] is None and got[4]["text"] == ""
     for d, old in ((1, text), (2, code)):
@@ -386,14 +387,14 @@ def test_pii(spark, empty):
     assert m[1].replace(" ", "") == m[2]
     assert re.search(r'token = "[0-9a-f]{40}" password=\w{18} AKIA[0-9A-Z]{16} Mrs\. (Anna|Clara|Elena|Greta|Helena|Irene|Julia|Laura|Maria|Nora|Paula|Rosa|Sofia|Teresa|Vera|Yvonne) [A-Z][a-z]+, Mr [A-Z][a-z]+$', got[2]["text"])
     assert got[6]["text"] == got[1]["text"] * 300 and got[6]["n"] == 300 * got[1]["n"]
-    assert pii.replaced(empty).count() == 0 and pii.replaced(empty).columns == empty.columns
+    assert pii.replaced(empty, KEY).count() == 0 and pii.replaced(empty, KEY).columns == empty.columns
 
 
 def test_pii_secrets(spark):
     """Labels in any case, with a closing quote and white space; hex in capitals is the same secret."""
     low = "9233a8ecf7c5b09fe5949719b6b82bc439e9329b"
     rows = [(1, f'TOKEN = "{low.upper()}" token = "{low}"'), (2, f'Password: hunter2hunter2, {{"password": "hunter3hunter3", "Api-Key"\t:\n "{low.upper()}"}}')]
-    out = {r["doc_id"]: r["text"] for r in pii.replaced(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    out = {r["doc_id"]: r["text"] for r in pii.replaced(spark.createDataFrame(rows, "doc_id long, text string"), KEY).collect()}
     up, down = re.fullmatch(r'TOKEN = "([0-9A-F]{40})" token = "([0-9a-f]{40})"', out[1]).groups()
     assert up.lower() == down != low
     m = re.fullmatch(r'Password: (\w{14}), \{"password": "(\w{14})", "Api-Key"\t:\n "(\w{40})"\}', out[2])
@@ -412,7 +413,7 @@ NAMES = [
 def test_pii_names(spark):
     """Names have any parts, share surrogates by part, and are replaced without a title, too."""
     df = spark.createDataFrame([*enumerate(NAMES), (9, "a\x1eb\x1cc\x1fd Mr Smith\x1e"), (10, "Schmidt, SMITH")], "doc_id long, text string")
-    out = {r["doc_id"]: r["text"] for r in pii.replaced(df).collect()}
+    out = {r["doc_id"]: r["text"] for r in pii.replaced(df, KEY).collect()}
     m = re.fullmatch(r"Mrs (\w+) (\w+) (\w+) met Mr (\w+)\. Mr (\w+)'s dog; then (\w+) left\.", out[0])
     assert m[3] == m[6] and len(set(m.groups())) == 5 and not {"Anna", "Maria", "Schmidt", "McDonald", "Brien"} & set(m.groups())
     m = re.fullmatch(r"Mr (\w+) (\w+) came\. Later (\w+) (\w+) spoke, then (\w+) and (\w+)'s friend\.", out[1])
@@ -430,9 +431,9 @@ def test_pii_names(spark):
 def test_pii_collisions(spark):
     """Three-digit numbers collide often; all end up different, and none is a number of the corpus."""
     found = spark.createDataFrame([("phone", f"{i:03d}") for i in range(0, 1000, 25)], "kind string, canon string")
-    again = {r["canon"]: r["attempt"] for r in pii.redrawn(found).collect()}
+    again = {r["canon"]: r["attempt"] for r in pii.redrawn(found, KEY).collect()}
     assert again
-    drawn = found.join(pii.redrawn(found), ["kind", "canon"], "left").select("canon", pii.drawn(F.col("kind"), F.col("canon"), F.coalesce("attempt", F.lit(0))).alias("s")).collect()
+    drawn = found.join(pii.redrawn(found, KEY), ["kind", "canon"], "left").select("canon", pii.drawn(F.col("kind"), F.col("canon"), F.coalesce("attempt", F.lit(0)), KEY).alias("s")).collect()
     assert len({r["s"] for r in drawn}) == 40 and not {r["s"] for r in drawn} & {r["canon"] for r in drawn}
 
 
@@ -471,3 +472,101 @@ def test_pipeline(spark, sf):
     assert sizes[0] > sizes[1] > sizes[2] >= sizes[3] == sizes[4] > 0
     rows = corpus_pipeline.STAGES[-1][1](spark, df, sf)
     assert rows.select("doc_id").distinct().count() == df.select("doc_id").distinct().count()
+
+
+def test_pii_no_length_bounds(spark):
+    """Secrets, tokens, addresses and names of any length go whole; long runs of one kind of character take no long time."""
+    secret, jwt = "aB3-" * 300 + "z", "eyJ" + "hbGciOi" * 400 + "." + "x_9" * 900 + "." + "Qq" * 40
+    name = "Mc" + "Kinley" * 60
+    rows = [(1, f"token={secret} {jwt} ghp_{'k7' * 400} {'l' * 200}@{'d' * 90}.{'e' * 90}.example.com Mr {name}."), (2, "eyJ" * 40000 + "a@" * 40000 + "1." * 40000 + "Mr A. " * 2000)]
+    out = {r["doc_id"]: r["text"] for r in pii.replaced(spark.createDataFrame(rows, "doc_id long, text string"), KEY).collect()}
+    assert re.fullmatch(r"token=\S{1201} eyJ\S+\.\S{2700}\.\S{80} ghp_\w{800} \S+@\S*example\.com Mr \w+\.", out[1])
+    parts = {a for w in (secret, jwt[3:], "k7" * 400, "l" * 200, "d" * 90, name) for a in (w[i : i + 40] for i in range(0, len(w) - 40, 40))}
+    assert not any(a in out[1] for a in parts)
+
+
+def test_pii_coreference(spark):
+    text = "Mrs. Anna Smith met Dr. Anna Smith. Anna Smith paid. Mrs. Smith left."
+    [out] = [r["text"] for r in pii.replaced(spark.createDataFrame([(1, text)], "doc_id long, text string"), KEY).collect()]
+    m = re.fullmatch(r"Mrs\. (\w+) (\w+) met Dr\. (\w+) (\w+)\. (\w+) (\w+) paid\. Mrs\. (\w+) left\.", out)
+    assert m[1] == m[3] == m[5] != "Anna" and m[2] == m[4] == m[6] == m[7] != "Smith"
+
+
+def luhn(digits):
+    return sum(sum(divmod(int(c) * (i % 2 + 1), 10)) for i, c in enumerate(reversed(digits))) % 10
+
+
+def mod97(iban):
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
+def test_pii_check_digits_and_ipv6(spark):
+    text = "4539 1488 0343 6467; 4539 1488 0343 6468; DE89 3704 0044 0532 0130 00; GB82WEST12345698765432; DE00 3704 0044 0532 0130 00; 2001:DB8:0:1:1:1:1:1 fe80::1ff:fe23:4567:890a; 12:30:45 std::vector a::b ::1"
+    [out] = [r["text"] for r in pii.replaced(spark.createDataFrame([(1, text)], "doc_id long, text string"), KEY).collect()]
+    right, wrong, de, gb, bad, ips, rest = (x.strip() for x in out.split(";"))
+    assert luhn(right.replace(" ", "")) == 0 and len({right, wrong, "4539 1488 0343 6467", "4539 1488 0343 6468"}) == 4
+    assert mod97(de.replace(" ", "")) == 1 and mod97(gb) == 1 and de[:2] == "DE" and de[9:13] != "0044" and bad[:2] == "DE" and bad != "DE00 3704 0044 0532 0130 00"
+    assert all(re.fullmatch(r"2001:db8(:[0-9a-f]{4}){6}", i.lower()) for i in ips.split()) and ips.split()[0].isupper() and rest == "12:30:45 std::vector a::b ::1"
+
+
+def brute_pii(rows, key):
+    """Replacement of e-mail addresses, hex secrets, cards, SSNs and IPv4 addresses, character by character, with hmac."""
+    import hmac
+
+    octet = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+    shapes = {
+        "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z]{2,}(?![A-Za-z0-9])", "secret": r'(?<=token = ")[0-9a-f]{8,}(?=")',
+        "ipv4": rf"(?<![\w.])(?:{octet}\.){{3}}{octet}(?!\w|\.\d)", "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", "card": r"(?<![\w.+-])(?:\d{4}[ -]?){3}\d{1,7}(?![\w-])",
+    }
+    found = []
+    for _, text in rows:
+        i, cut = 0, []
+        while i < len(text or ""):
+            hit = next(((k, m) for k, p in shapes.items() if (m := re.compile(p, re.A).match(text, i))), None)
+            if hit:
+                cut.append((hit[0], hit[1].start(), hit[1].end()))
+            i = hit[1].end() if hit else i + 1
+        found.append(cut)
+    core = lambda k, v: v.lower() if k in ("email", "secret") else re.sub(r"\D", "", v) if k in ("ssn", "card") else v
+
+    def draw(kind, canon, attempt):
+        d = b"".join(hmac.digest(key.encode(), "\x1f".join((kind, str(attempt), n, canon)).encode(), "sha512") for n in "01")
+        alike = lambda v, since=0: "".join("0123456789"[d[(i + since) % 128] % 10] if c.isdigit() else chr(97 + d[(i + since) % 128] % 26) if "a" <= c <= "z" else c for i, c in enumerate(v))
+        if kind == "email":
+            local, _, domain = canon.partition("@")
+            made, labels = alike(local), domain.split(".")
+            made += "".join(chr(97 + d[(i + 100) % 128] % 26) for i in range(1, 11))[: max(0, 10 - len(made))]
+            return made + "@" + (alike(labels[0], 64) + "." if len(labels) > 2 else "") + "example." + (labels[-1] if labels[-1] in ("com", "net", "org") else "org")
+        if kind == "secret":
+            return d.hex()[: len(canon)]
+        if kind == "ipv4":
+            return ".".join(map(str, (240 + d[0] % 15, *d[1:4])))
+        made = alike(canon) if kind == "ssn" else canon[0] + alike(canon[1:])
+        return made[:-1] + next(c for c in "0123456789" if luhn(made[:-1] + c) == 0) if kind == "card" and luhn(canon) == 0 else made
+
+    known = {(k, core(k, t[a:b])): 0 for (_, t), cut in zip(rows, found) for k, a, b in cut}
+    while True:
+        now, again = {e: draw(*e, n) for e, n in known.items()}, set()
+        for e, s in now.items():
+            if any(f[0] == e[0] and t == s and f[1] < e[1] for f, t in now.items()) or (e[0], s) in known:
+                again.add(e)
+        if not again:
+            break
+        known = {e: n + (e in again) for e, n in known.items()}
+    out = []
+    for (i, text), cut in zip(rows, found):
+        at, parts = 0, []
+        for k, a, b in cut:
+            new, digits = now[k, core(k, text[a:b])], iter(now[k, core(k, text[a:b])])
+            parts += [text[at:a], "".join(next(digits) if c.isdigit() else c for c in text[a:b]) if k in ("ssn", "card") else new.upper() if k == "email" and text[a:b].isupper() else new]
+            at = b
+        out.append((i, "".join(parts) + text[at:] if text else text, len(cut)))
+    return out
+
+
+def test_pii_brute_force(spark):
+    random.seed(12)
+    bits = ["foo.bar@a.example.com", "FOO.BAR@A.EXAMPLE.COM", "x@y.co", ' token = "9f86d081884c7d65"', "10.1.2.3", "078-05-1120", "4539 1488 0343 6467", "4173893178530722", "1.2", "@", "-", ",", "é", "a", "2024-01-02", "\n", "\x1e", "12"]
+    rows = [(i, "".join(random.choice(bits) + random.choice([" ", " ", ""]) for _ in range(random.randint(0, 12)))) for i in range(150)] + [(None, None), (200, ""), (3, "dup a@b.cc"), (3, "dup a@b.cc")]
+    got = pii.replaced(spark.createDataFrame(rows, "doc_id long, text string"), KEY, count_col="n").collect()
+    same(map(tuple, got), brute_pii(rows, KEY))

@@ -8,22 +8,38 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_OWN: set[str] = set()
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; only where it is unset, as in tests, a folder of this machine."""
+    """The folder of spark.checkpoint.dir, which driver and executors share; unset it will do only where all is one process, as in tests."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         found = f"file://{os.path.join(tempfile.gettempdir(), 'veridex-checkpoints')}"
     return found.rstrip("/")
 
 
+def _path(spark: SparkSession, uri: str):
+    """(Hadoop file system, Hadoop path) of a folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared one."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder below the application's own in the shared one, which goes when the application ends."""
+    own = f"{shared_dir(spark)}/veridex-{spark.sparkContext.applicationId}"
+    if own not in _OWN:
+        fs, path = _path(spark, own)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _OWN.add(own)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -31,7 +47,16 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = work_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._veridex_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what saved() wrote, once nothing will read it any more."""
+    for t in tables:
+        fs, path = _path(t.sparkSession, t._veridex_path)
+        fs.delete(path, True)
 
 
 def filesystem(uri: str):
