@@ -27,8 +27,8 @@ _MARKS = "0123456789!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ITERATIONS, THRESHOLD = 25, 0.5
 #: Before the first step: the share of good documents, how often a rule is right on good ones, and on bad ones (each kind of
-#: defect is seen by few rules). BELIEF: the strength of these, in documents. LEAST: a rule is right on so many good ones, or it were none.
-PRIOR, RIGHT_GOOD, RIGHT_BAD, BELIEF, LEAST = 0.8, 0.99, 0.2, 20.0, 0.9
+#: defect is seen by few rules). BELIEF: the strength of these, in documents; what EM learns of a rule has no other bound.
+PRIOR, RIGHT_GOOD, RIGHT_BAD, BELIEF = 0.8, 0.99, 0.2, 20.0
 
 
 @dataclass(frozen=True)
@@ -50,7 +50,8 @@ RULES = (
     Rule("word_length", "10 * word_chars BETWEEN 30 * n_words AND 68 * n_words", "10 * word_chars < 25 * n_words OR 10 * word_chars > 120 * n_words"),
     Rule("lines", "n_dup_lines = 0", "10 * n_dup_lines >= 3 * n_lines"),
     Rule("repeats", "100 * n_repeat_words <= 5 * n_words", "100 * n_repeat_words > 20 * n_words"),
-    Rule("variety", "100 * n_distinct >= 40 * n_words", "100 * n_distinct < 20 * n_words AND n_words < 1000"),
+    # Distinct words grow with the root of a text's length; up to 1,000 words the shares are the stricter bounds.
+    Rule("variety", "100 * n_distinct >= 40 * n_words OR n_distinct * n_distinct >= 160 * n_words", "100 * n_distinct < 20 * n_words AND n_distinct * n_distinct < 40 * n_words"),
     Rule("sentences", "n_stops > 0 AND n_words BETWEEN 3 * n_stops AND 40 * n_stops", "n_stops = 0 OR n_words < 2 * n_stops OR n_words > 100 * n_stops"),
     Rule("capitals", "100 * n_upper <= 15 * word_chars", "100 * n_upper >= 40 * word_chars"),
 )
@@ -140,7 +141,7 @@ def estimate(voted: DataFrame, n_rules: int, iterations: int = ITERATIONS) -> tu
     def rate(j: int, side: int, share: str, first: float) -> str:
         return f"({total(f'CASE WHEN x.v[{j}] = {side} THEN x.n * {share} ELSE 0D END')} + {BELIEF * first}D) / ({total(f'CASE WHEN x.v[{j}] <> 0 THEN x.n * {share} ELSE 0D END')} + {BELIEF}D)"
 
-    good = ", ".join(f"greatest({LEAST}D, {rate(j, 1, 'x.g', RIGHT_GOOD)})" for j in js)
+    good = ", ".join(rate(j, 1, "x.g", RIGHT_GOOD) for j in js)
     bad = ", ".join(rate(j, -1, "(1D - x.g)", RIGHT_BAD) for j in js)
     share = f"({total('x.n * x.g')} + {BELIEF * PRIOR}D) / ({total('x.n')} + {BELIEF}D)"
     step = f"transform(array({posts}), q -> named_struct('pi', {share}, 's', array({good}), 'c', array({bad})))[0]"
@@ -186,7 +187,7 @@ def _sql() -> str:
     def rate(j: int, side: int, share: str, first: float) -> str:
         return f"(sum(CASE WHEN v{j} = {side} THEN n * {share} ELSE 0 END) + {BELIEF * first}) / (sum(CASE WHEN v{j} <> 0 THEN n * {share} ELSE 0 END) + {BELIEF})"
 
-    steps = ", ".join([f"greatest({LEAST}, {rate(j, 1, 'g', RIGHT_GOOD)}) AS s{j}" for j in js] + [f"{rate(j, -1, '(1 - g)', RIGHT_BAD)} AS c{j}" for j in js])
+    steps = ", ".join([f"{rate(j, 1, 'g', RIGHT_GOOD)} AS s{j}" for j in js] + [f"{rate(j, -1, '(1 - g)', RIGHT_BAD)} AS c{j}" for j in js])
     starts = ", ".join([f"CAST({x} AS DOUBLE) AS {c}{j}" for c, x in (("s", RIGHT_GOOD), ("c", RIGHT_BAD)) for j in js])
     names = ", ".join(f"{x}{j}" for x in "sc" for j in js)
     return f"""
