@@ -4,12 +4,14 @@ Pieces are placed by best fit (the longest first, each into the fullest sequence
 over the sequences that are not full exchanges one piece for one, two for one, or moves one, whenever the sum of
 squared fills rises; so gaps gather in few sequences until these are empty.
 
-Pieces are dealt into groups of bounded size, each packed by one task; sequences that are full are final, and
-the pieces of all others meet again in fewer groups, until one group holds them all or a round leaves nothing. So neither
-the number of documents nor a copied one weighs on a task.
-
-A null text is empty: a piece of one id, the end id. Repeated rows are packed each; null doc_ids are carried. Only documents longer than
-a sequence are cut: the pieces after the first are full.
+Pieces are dealt into groups of bounded size, each packed by one task; sequences that are full are final, and so are the fullest
+of the others where these hold more than OPEN of the group's pieces: the search found nothing better for them among a whole
+group. The pieces of the rest meet again in fewer groups, at most that share of them a round, until one group holds them all. So
+neither the number of documents, nor a copied one, nor lengths that do not fit together weigh on a task.
+
+A null text is empty: a piece of one id, the end id. Repeated rows are packed each; null doc_ids are carried. Ties of size go by doc_id.
+Only documents longer than a sequence are cut, however long: the pieces after the first are full. An empty table gives an empty
+result. Columns besides doc_id and text play no part.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ from pyspark.sql import functions as F
 from veridex.llm.common import saved, slices, table
 
 VOCABULARY, END_ID, LENGTH = "byte_bpe_50k.json", 0, 2048
-#: Pieces that one task packs.
-GROUP = 200_000
+#: Pieces that one task packs, and the share of them, from the emptiest sequences, that may meet others in a later round.
+GROUP, OPEN = 200_000, 0.5
 _FIELDS = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
 _DDL = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -201,8 +203,11 @@ def _pack(batches: Iterator[pa.RecordBatch], length: int, level: int, last: bool
     bins = local_search(best_fit(sizes, length), sizes, length)
     base = (level << 56) + (TaskContext.get().partitionId() << 32)
     index, sequence, offset = [], [], []
+    bins.sort(key=lambda b: sum(sizes[i] for i in b))  # the emptiest first
+    room = OPEN * len(sizes)
     for k, b in enumerate(bins):
-        final = last or sum(sizes[i] for i in b) == length
+        room -= len(b)
+        final = last or room < 0 or sum(sizes[i] for i in b) == length
         at = 0
         for i in b:
             index.append(i)
@@ -225,15 +230,13 @@ def pack(found: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFram
     while True:
         groups = max(1, -(-n // group))
         last = groups == 1
-        dealt = left.repartition(groups, "doc_id", "piece", "ids_crc32") if groups > 1 else left.coalesce(1)
+        dealt = left.repartition(groups) if groups > 1 else left.coalesce(1)  # by turns: equal rows do not gather
         placed = saved(dealt.mapInArrow(lambda b, level=level, last=last: _pack(b, length, level, last), f"{_DDL}, sequence_id long, offset long"), "packed")
         out.append(placed.where(F.col("sequence_id").isNotNull()))
         if last:
             break
-        left = placed.where(F.col("sequence_id").isNull()).drop("sequence_id", "offset")
-        before, n, level = n, left.count(), level + 1
-        if n > before // 2:  # little fits: fewer groups of more pieces
-            group *= 2
+        left, level = placed.where(F.col("sequence_id").isNull()).drop("sequence_id", "offset"), level + 1
+        n = left.count()
     result = out[0]
     for df in out[1:]:
         result = result.unionAll(df)
