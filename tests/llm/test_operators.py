@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -90,6 +91,24 @@ def test_quality_kept(docs, empty):
     assert quality_rules.kept(empty).count() == 0 and quality_rules.judged(empty).count() == 0
 
 
+def test_quality_variety_has_no_length_switch(spark):
+    """Long texts of few words get a vote against them as short ones do, and long ordinary ones none."""
+    random.seed(9)
+    few, many = [f"w{i}" for i in range(60)], [f"v{int(random.paretovariate(0.4))}" for _ in range(30000)]
+    rows = [(n, " ".join(random.choices(few, k=n))) for n in (400, 1500, 20000)] + [(-n, " ".join(many[:n])) for n in (400, 1500, 20000)]
+    got = quality_rules.votes(quality_rules.statistics(spark.createDataFrame(rows, "doc_id long, text string")))
+    at = [r.name for r in quality_rules.RULES].index("variety")
+    assert all((r["votes"][at] == -1) == (r["doc_id"] > 0) for r in got.collect())
+
+
+def test_quality_em_learns_that_a_rule_is_poor(spark):
+    random.seed(4)
+    right = [0.97, 0.95, 0.96, 0.94, 0.6]
+    rows = [(i, [(1 if good else -1) * (1 if random.random() < p else -1) for p in right]) for i in range(4000) for good in [random.random() < 0.8]]
+    _, good, _ = quality_rules.estimate(spark.createDataFrame(rows, "id int, votes array<int>"), 5)
+    assert abs(good[4] - 0.6) < 0.05 and min(good[:4]) > 0.9
+
+
 # 2
 
 
@@ -216,6 +235,13 @@ def test_packing(spark, docs, empty, sf):
     assert packing.pack(packing.pieces(empty, path)).count() == 0
 
 
+def test_packing_of_lengths_that_do_not_fit(spark):
+    """Documents of 1,100 tokens fill no sequence of 2,048; each round still leaves at most half the pieces to the next."""
+    rows = [(i % 7, 0, 0, 1100, 5) for i in range(3000)]
+    out = packing.pack(spark.createDataFrame(rows, packing._DDL), 2048, 200).collect()
+    assert len(out) == 3000 and len({r["sequence_id"] for r in out}) == 3000 and {r["offset"] for r in out} == {0}
+
+
 def test_local_search_raises_squared_fill():
     assert len(packing.local_search([[0], [1], [2], [3]], [6, 4, 5, 5], 10)) == 2  # moves
     random.seed(6)
@@ -328,6 +354,45 @@ def test_near_dup(docs, empty):
     assert near_dup.classes(empty).count() == 0 and near_dup.one_of_each(empty).count() == 0
 
 
+def test_near_dup_nulls_and_repeats(spark):
+    """One row of a class is kept: the least doc_id, nulls last, and of equal rows one; the operator and the stage agree."""
+    t, other = "one two three four five six seven", "a b c d e f g h"
+    rows = [(None, t), (5, t), (5, t), (7, t + " "), (None, other), (None, other), (8, None), (None, ""), (9, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dup.judged(df).collect()
+    assert [r for r in got if r["kept"] is None] == [] and sorted((r["doc_id"] or 0, r["class_id"] or 0) for r in got if r["kept"]) == [(0, 0), (0, 0), (5, 5), (8, 8), (9, 9)]
+    same([(r["doc_id"], r["text"]) for r in near_dup.one_of_each(df).collect()], [(5, t), (None, other), (8, None), (None, ""), (9, " ")])
+    assert near_dup.judged(df.limit(0)).count() == 0
+
+
+def test_near_dup_mixed_bucket_in_blocks(spark):
+    """Links between classes of one bucket are found though its members are in many blocks."""
+    random.seed(8)
+    stem = [f"s{i}" for i in range(60)]
+    rows = []
+    for k in range(40):
+        words = list(stem)
+        for j in random.sample(range(60), 1 + k % 3):
+            words[j] = f"x{k}_{j}"
+        rows.append((k, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    node, fields = F.unhex(F.md5(F.col("text").cast("binary"))), "node binary, bands array<long>, sig binary"
+    kinds = pa.schema([("node", pa.binary()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
+    signed = near_dup.saved(df.select(node.alias("node"), "text").mapInArrow(lambda b: near_dup._sign(b, kinds), fields), "t")
+    what = pa.schema([("node", pa.binary()), ("f", pa.binary())])
+    features = near_dup.saved(df.select(node.alias("node"), "text").mapInArrow(lambda b: near_dup._features(b, what), "node binary, f binary"), "t")
+    bands, none = signed.select("node", F.lit(1).alias("band")), spark.createDataFrame([], "node binary, root binary")
+    want, _ = brute_classes(rows)
+    for size in (1 << 20, 3000):
+        links = near_dup._residual(bands, none, signed, features, 0.3, 0.8, size)
+        roots = {bytes(r["node"]): bytes(r["root"]) for r in near_dup.components(links, "t").collect()}
+        groups = {}
+        for i, t in rows:
+            n = hashlib.md5(t.encode()).digest()
+            groups.setdefault(roots.get(n, n), []).append(i)
+        assert sorted(sorted((i, min(g)) for i in g) for g in groups.values()) == sorted(sorted(p for p in want if p[1] == c) for c in {c for _, c in want})
+
+
 def test_near_dup_chain(spark):
     """Neighbours are similar, the ends are not: one class, though no leader is similar to all."""
     words = [f"a{i}" for i in range(140)]

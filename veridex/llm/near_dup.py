@@ -9,11 +9,13 @@ hit is thrown for again with a larger rank.
 
 Signatures are cut into bands. In each bucket every document is linked to one leader, links are checked exactly
 (weighted Jaccard of at least SIMILARITY) and classes are the components. Buckets in which several classes
-remain are then compared in blocks, class against class, by signature first and exactly after, so no link between
-different texts of a bucket is lost, and no bucket's pairs are all emitted. Equal texts are one node from the start.
+remain are then compared in blocks, class against class, by signature first and exactly after. A link is lost where its texts share no bucket, with a
+probability of 3e-6 at similarity 0.8, or agree on too few coordinates to be likely, with one of 2e-6; no bucket's pairs
+are all emitted. Equal texts are one node from the start.
 
-Null and empty texts: each its own class. Repeated rows: the same class. A null doc_id is never a class id unless
-all of its class are null. Very long texts are taken whole. An empty table gives an empty result.
+Null and empty texts: each its own class, and kept. Repeated rows: the same class, one of them kept. A null doc_id is never a
+class id unless all of its class are null; then one of them is kept. Very long texts are taken whole. An empty table
+gives an empty result. Other columns are carried by one_of_each(), whatever they are called, and ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridex.llm.common import saved, slices, table
+from veridex.llm.common import rows_of, saved, slices, table
 from veridex.llm.segments import BETWEEN, hashes, mix, points
 
 WORDS, SIMILARITY = 5, 0.8
@@ -34,8 +36,8 @@ BANDS, ROWS = 24, 4
 COORDINATES = BANDS * ROWS
 #: A pair of similarity 0.8 agrees on fewer than 0.6 of 96 coordinates with a probability of about 2e-6.
 LIKELY = 0.6
-#: Documents in a block of a bucket.
-BLOCK = 256
+#: Bytes of signatures and shingles in a block of a bucket; a longer document is a block's only one.
+BLOCK = 2 << 20
 _WHITE = np.zeros(0x110000, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -230,8 +232,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], likely: float, least: float, out:
 
     A link that joins two classes makes further ones between them needless, so no more links are put out than the blocks have members.
     """
-    for batch in batches:
-        for row in batch.to_pylist():
+    for row in rows_of(batches):
+        if row["x"] and row["y"]:
             x, y = row["x"], row["y"]
             sx, sy = (np.frombuffer(b"".join(m["sig"] for m in side), "<u4").reshape(len(side), -1) for side in (x, y))
             agree = np.zeros((len(x), len(y)), np.int16)
@@ -252,15 +254,22 @@ def _blocks(batches: Iterator[pa.RecordBatch], likely: float, least: float, out:
             yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in links], pa.binary()), pa.array([v for _, v in links], pa.binary())], schema=out)
 
 
-def _residual(bands: DataFrame, roots: DataFrame, signed: DataFrame, features: DataFrame, likely: float, least: float) -> DataFrame:
-    """Links of different classes that share a bucket."""
+def _residual(bands: DataFrame, roots: DataFrame, signed: DataFrame, features: DataFrame, likely: float, least: float, block: int = BLOCK) -> DataFrame:
+    """Links of different classes that share a bucket.
+
+    A bucket's members are dealt to blocks by a hash, and each pair of blocks is a key of its own: no task holds more than two
+    blocks, and the pairs of a hot bucket spread over all tasks. Signatures and shingles join last, by node.
+    """
     known = bands.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-    mixed = known.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / BLOCK).alias("blocks")).where("lo <> hi").select("band", "blocks")
-    rows = saved(known.join(mixed, "band").join(signed.select("node", "sig"), "node").join(features, "node"), "mixed")
-    block = F.pmod(F.xxhash64("node"), F.col("blocks"))  # a bucket's members are dealt by a hash, not gathered
-    blocks = rows.withColumn("block", block).groupBy("band", "block").agg(F.collect_list(F.struct("node", "root", "sig", "f")).alias("m"))
-    left, right = blocks.selectExpr("band", "block AS i", "m AS x"), blocks.selectExpr("band", "block AS j", "m AS y")
-    return left.join(right, "band").where("i <= j").select("x", "y").mapInArrow(lambda b: _blocks(b, likely, least, _EDGES), _EDGE).selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct()
+    size = features.select("node", (F.octet_length("f") + 4 * COORDINATES + 64).alias("size"))
+    sized = known.join(size, "node")
+    mixed = sized.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.sum("size") / block).alias("blocks")).where("lo <> hi").select("band", "blocks")
+    own = known.join(mixed, "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).selectExpr("band", "least(block, other) AS i", "greatest(block, other) AS j", "block", "node", "root")
+    full = dealt.join(signed.select("node", "sig"), "node").join(features, "node")
+    pairs = full.groupBy("band", "i", "j").agg(F.collect_list(F.struct("block", "node", "root", "sig", "f")).alias("m"))
+    sides = pairs.select(F.filter("m", lambda x: x["block"] == F.col("i")).alias("x"), F.when(F.col("i") == F.col("j"), F.col("m")).otherwise(F.filter("m", lambda x: x["block"] == F.col("j"))).alias("y"))
+    return sides.mapInArrow(lambda b: _blocks(b, likely, least, _EDGES), _EDGE).selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct()
 
 
 def _empty() -> Column:
@@ -301,17 +310,30 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     return out.select("doc_id", F.when(F.col("empty"), F.col("doc_id")).otherwise(F.coalesce("class_id", "doc_id")).alias("class_id"), "node", "root", "empty")
 
 
+def _order() -> list[Column]:
+    """Which row of a class is kept: the least doc_id, nulls last; of equal ids the least text by hash."""
+    return [F.col("doc_id").isNull().alias("nul"), F.coalesce("doc_id", F.lit(0)).alias("k"), F.col("node")]
+
+
 def one_of_each(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """Of each class the row with the least doc_id (of equal rows one), with all columns of docs; rows without words all stay."""
-    found = saved(classes(docs, least).withColumn("k", F.coalesce("doc_id", F.lit(-(1 << 63)))), "classes")
-    first = found.where("NOT empty").groupBy("root").agg(F.min(F.struct("k", "node")).alias("f")).select("f.k", "f.node")
-    twice = found.where("NOT empty").groupBy("k", "node").agg(F.count("*").alias("n")).where("n > 1").select("k", "node")
+    """Of each class the row with the least doc_id (nulls last; of equal rows one), with all columns of docs; rows without words all stay."""
+    key = ["nul", "k", "node"]
+    found = saved(classes(docs, least).select("root", "empty", *_order()), "classes")
+    first = found.where("NOT empty").groupBy("root").agg(F.min(F.struct(*key)).alias("f")).select("f.*")
+    twice = found.where("NOT empty").groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key)
     names = docs.columns
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.coalesce(F.expr("CAST(doc_id AS long)"), F.lit(-(1 << 63))).alias("k"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("node"), _empty().alias("empty"))
-    stay = packed.where("NOT empty").join(first, ["k", "node"], "left_semi")
-    out = stay.join(twice, ["k", "node"], "left_anti").select("row").unionAll(stay.join(twice, ["k", "node"], "left_semi").dropDuplicates(["k", "node"]).select("row"))
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.expr("CAST(doc_id AS long)").alias("doc_id"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("node"), _empty().alias("empty")).select("row", "empty", *_order())
+    stay = packed.where("NOT empty").join(first, key, "left_semi")
+    out = stay.join(twice, key, "left_anti").select("row").unionAll(stay.join(twice, key, "left_semi").dropDuplicates(key).select("row"))
     return out.unionAll(packed.where("empty").select("row")).select(*(F.col("row").getField(c).alias(c) for c in names))
 
 
+def judged(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """(doc_id, class_id, kept) of each row of docs: one row of a class is kept, that of one_of_each()."""
+    found = saved(classes(docs, least).withColumn("rid", F.monotonically_increasing_id()), "classes")
+    first = found.where("NOT empty").groupBy("root").agg(F.min(F.struct(*_order(), "rid")).alias("f")).select("f.rid", F.lit(True).alias("first"))
+    return found.join(first, "rid", "left").select("doc_id", "class_id", (F.col("empty") | F.coalesce("first", F.lit(False))).alias("kept"))
+
+
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    return judged(table(spark, sf_dir, "documents"))
