@@ -10,7 +10,9 @@ No token crosses the place between a non-space and a space, nor a character that
 hold, so a text is cut there, each distinct segment's table is made once, and a text's prefix count is the sum
 over the segments before it plus an entry of one segment's table.
 
-Null and empty texts have 0 tokens. Repeated rows are counted each. Very long texts are one segment after the other.
+Null and empty texts have 0 tokens. Repeated rows are counted each, ties play no part. Very long texts are one segment after the other, U+2581
+counts as the space that it stands for, and no text is encoded again and again. An empty table gives an empty result. Columns besides doc_id and text
+play no part, whatever they are called.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from veridex.llm.segments import BETWEEN, Segments, gather, hashes, points
 LIMIT = 4096
 MODEL = "piece_bpe_32k.model"
 _SPACE = "▁"
+#: What stands for BETWEEN inside a text: as unknown to models, and as long in UTF-8.
+_OTHER = "\U0010fffe"
 
 
 class PrefixCounter:
@@ -49,9 +53,10 @@ class PrefixCounter:
         self.alone = frozenset(chr(c) for c in (9, 10, 13)) - inner
         self.whole = all(_SPACE not in p.lstrip(_SPACE) for p in pieces)  # no space after another character
         assert self.whole, "tokens of this model cross word boundaries"
+        assert not {BETWEEN, _OTHER} & {c for p in pieces for c in p} and lib.encode(f"a{_SPACE}b {BETWEEN}") == lib.encode("a b ") + lib.encode(f" {BETWEEN}")[-4:], "this model treats spaces otherwise"
         self.together: dict[tuple[str, str], bool] = {}
         self.states: dict[str, tuple[int, str]] = {}
-        self.cache = Segments(self.table, np.uint8, bits=20, most=24_000_000)
+        self.cache = Segments(self.table, np.uint16, bits=20, most=24_000_000)
         self.long: dict[str, np.ndarray] = {}
 
     def merge(self, s: str) -> list[str]:
@@ -110,10 +115,12 @@ class PrefixCounter:
         return out
 
     def table(self, segment: str) -> list[int]:
-        """Counts of a segment's prefixes, modulo 256 (differences of neighbours are small enough to restore them)."""
+        """Counts of a segment's prefixes, modulo 65536: differences of neighbours, which are checked here, restore them."""
         s = segment.replace(" ", _SPACE)
         counts = self._known(s) if len(s) <= 64 else self.prefixes(s)
-        return [c & 255 for c in counts]
+        if any(abs(b - a) >= 1 << 15 for a, b in zip(counts, counts[1:])):
+            raise OverflowError("the count of a prefix changes by more than a table's entry can tell")
+        return [c & 0xFFFF for c in counts]
 
     def segments(self, texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(joined texts, each with a space before it; start, length and text of each segment; code points)."""
@@ -131,13 +138,12 @@ class PrefixCounter:
 
     def counts(self, texts: list[str]) -> list[np.ndarray]:
         """For each text, the number of tokens of text[:1], text[:2], ... text."""
-        own = ["" if BETWEEN in t or _SPACE in t else t for t in texts]
+        own = [t.replace(_SPACE, " ").replace(BETWEEN, _OTHER) for t in texts]  # the library counts these alike
         joined, cp, begin, length, of = self.segments(own)
         at, n = self.cache.find(joined, begin, length, hashes(cp, begin, length))
         low = gather(self.cache.values, at, n).astype(np.int64)
-        # A table's first entry is under 256; from one prefix to the next the count changes by less than 128.
         step = np.diff(low, prepend=0)
-        step = (step + 128) % 256 - 128
+        step = (step + (1 << 15)) % (1 << 16) - (1 << 15)
         first = np.cumsum(np.append(0, n[:-1]))
         step[first] = low[first]
         inside = np.cumsum(step)
@@ -148,10 +154,7 @@ class PrefixCounter:
         sizes = np.bincount(of, weights=n, minlength=len(own)).astype(np.int64)[: len(own)]
         ends = np.cumsum(sizes)
         out = []
-        for i, t in enumerate(texts):
-            if own[i] is not t and own[i] != t:
-                out.append(np.array([len(x) for x in self.library.encode([t[: k + 1] for k in range(len(t))])], np.int64))
-                continue
+        for i in range(len(texts)):
             a, b = ends[i] - sizes[i], ends[i]
             base = total[a - 1] if a else 0
             out.append((total[a:b] - base)[1:])  # without the space before the text
