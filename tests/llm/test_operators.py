@@ -191,6 +191,22 @@ def test_token_files(spark, docs, target):
     del at
 
 
+def test_token_files_of_repeated_rows_and_long_texts(spark):
+    """Repeated rows that fill several files of a task keep their order and starts; a text over the slices' 1 MB stays whole."""
+    path, where = public_tokenizers.path(token_files.VOCABULARY), work_dir(spark, "t")
+    rows = [(4, "same words here")] * 400 + [(2, "long words " * 120_000), (9, "x"), (1, None)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 40)  # files are closed after a batch
+    manifest = token_files.write_shards(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), path, 1, where, 200)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert manifest.groupBy("part").count().agg(F.max("count")).first()[0] > 3
+    got = sorted(token_files.read_shards(manifest, where).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [1, 2, *[4] * 400, 9] and got[0]["start"] == 0 and all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:]))
+    [name] = [r["name"] for r in manifest.where("part >= 0").orderBy("start").limit(1).collect()]
+    fs, folder = token_files.filesystem(where)
+    shard = token_files.Shard(fs.open_input_file(f"{folder}/{name}").read_buffer())
+    assert shard.document(0).tolist() == [1] and len(shard.document(len(shard.doc_ids) - 1)) == got[len(shard.doc_ids) - 1]["n_tokens"]
+
+
 def test_token_files_empty(spark, empty):
     where = work_dir(spark, "t")
     assert token_files.read_shards(token_files.write_shards(empty, public_tokenizers.path(token_files.VOCABULARY), 1, where), where).count() == 0
@@ -509,7 +525,7 @@ def test_token_counts(spark, docs, empty, sf):
     path = public_tokenizers.path(token_counts.MODEL)
     of = token_counts.counter(path)
     random.seed(1)
-    bits = ["a", " ", "  ", "\n", "'s", "the", "ing", "é", "1", "23", "!", "_", "Σ", "😀", "</s>", "s", "re", "T", "中", "\x1c", "\t", "²", "     ", "ǅ", "▁"]
+    bits = ["a", " ", "  ", "\n", "'s", "the", "ing", "é", "1", "23", "!", "_", "Σ", "😀", "</s>", "s", "re", "T", "中", "\x1c", "\t", "²", "     ", "ǅ", "▁", "\U0010ffff", "\U0010fffe"]
     texts = ["".join(random.choices(bits, k=random.randint(0, 25))) for _ in range(600)] + ["q" * 300]
     for i in range(0, len(texts), 50):
         for t, c in zip(texts[i : i + 50], of.counts(texts[i : i + 50])):
@@ -522,6 +538,14 @@ def test_token_counts(spark, docs, empty, sf):
     assert token_counts.prefix_counts(empty, path).count() == 0
 
 
+def test_token_counts_of_long_texts(spark):
+    """Texts over the slices' 0.5 MB, with and without U+2581, in one pass."""
+    texts = ["word ▁ and\n" * 60_000, "a▁" * 40_000 + "\U0010ffff", "plain text " * 70_000]
+    got = token_counts.prefix_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), public_tokenizers.path(token_counts.MODEL)).collect()
+    library = token_counts.counter(public_tokenizers.path(token_counts.MODEL)).library
+    assert [r["n_tokens"] for r in sorted(got)] == [len(library.encode(t)) for t in texts]
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 

@@ -9,8 +9,9 @@ File: magic, length of the header, header (JSON: sizes of the parts), doc_ids, n
 directory, ids. Files are written by executors to the shared folder under a name of their own per task
 attempt; the manifest names those of the attempts that succeeded, so a lost executor leaves no half a result.
 
-Order: by doc_id, nulls first; equal doc_ids by a hash of the text, so repeated rows stay side by side. Null and empty
-texts have only the end id. A document over the target of a slice is encoded alone.
+Order: by doc_id, nulls first; equal doc_ids by a hash of the text, so repeated rows stay side by side, also where they fill
+several files. Null and empty texts have only the end id. A very long document is encoded alone, and whole in one file. An empty table
+has no files and an empty result. Columns besides doc_id and text play no part, whatever they are called.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ VOCABULARY, END_ID = "word_bpe_49k.json", 1
 MAGIC = b"VXIDS001"
 #: One entry of the directory for so many offsets.
 SAMPLE = 64
+#: Documents whose offsets are selected at once.
+READ = 4 * SAMPLE
 
 
 class EliasFano:
@@ -53,35 +56,29 @@ class EliasFano:
         return cls(n, low_bits, low, np.packbits(unary, bitorder="little"), ones[::SAMPLE].astype(np.uint32))
 
     def select(self, i: int) -> int:
-        """The i-th value, from the directory and at most SAMPLE ones behind it."""
-        if not 0 <= i < self.n:
+        """The i-th value."""
+        return int(self.run(i, 1)[0])
+
+    def run(self, i: int, k: int) -> np.ndarray:
+        """The k values from the i-th on: the directory tells where the unary part is looked at, and nothing else is decoded."""
+        if not 0 <= i <= i + k - 1 < self.n:
             raise IndexError(i)
-        at = int(self.directory[i // SAMPLE])
-        left = i % SAMPLE + 1
-        byte = at // 8
-        first = int(self.high[byte]) >> (at % 8) << (at % 8)
-        while (count := first.bit_count()) < left:
-            left -= count
-            byte += 1
-            first = int(self.high[byte])
-        for _ in range(left - 1):
-            first &= first - 1
-        one = byte * 8 + (first & -first).bit_length() - 1
-        begin = i * self.low_bits
-        low = 0
-        for k in range(self.low_bits):
-            b = begin + k
-            low |= (int(self.low[b // 8]) >> (b % 8) & 1) << k
-        return (one - i) << self.low_bits | low
+        block, last = i // SAMPLE, (i + k - 1) // SAMPLE
+        byte = int(self.directory[block]) // 8
+        end = int(self.directory[last + 1]) // 8 + 1 if last + 1 < len(self.directory) else len(self.high)
+        bits = np.unpackbits(self.high[byte:end], bitorder="little")
+        bits[: int(self.directory[block]) % 8] = 0
+        ones = byte * 8 + np.flatnonzero(bits)[i - block * SAMPLE :][:k]
+        high = (ones - np.arange(i, i + k)) << self.low_bits
+        if not self.low_bits:
+            return high
+        at = i * self.low_bits
+        low = np.unpackbits(self.low[at // 8 : ((i + k) * self.low_bits + 7) // 8], bitorder="little")[at % 8 :][: k * self.low_bits].reshape(k, self.low_bits)
+        return high | low.astype(np.int64) @ (np.int64(1) << np.arange(self.low_bits))
 
     def values(self) -> np.ndarray:
         """All of them."""
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        out = (ones - np.arange(self.n)) << self.low_bits
-        if self.low_bits:
-            bits = np.unpackbits(self.low, bitorder="little", count=self.n * self.low_bits).reshape(self.n, self.low_bits)
-            out |= bits.astype(np.int64) @ (np.int64(1) << np.arange(self.low_bits))
-        return out
+        return self.run(0, self.n) if self.n else np.zeros(0, np.int64)
 
     def bits(self) -> int:
         return 8 * (self.low.nbytes + self.high.nbytes + self.directory.nbytes)
@@ -118,7 +115,8 @@ class Shard:
         self.bounds = EliasFano(n + 1, head["low_bits"], np.frombuffer(parts[2], np.uint8), np.frombuffer(parts[3], np.uint8), np.frombuffer(parts[4], "<u4"))
 
     def document(self, i: int) -> np.ndarray:
-        return self.ids[self.bounds.select(i) : self.bounds.select(i + 1)]
+        begin, end = self.bounds.run(i, 2)
+        return self.ids[begin:end]
 
 
 def _write(batches: Iterator[pa.RecordBatch], path: str, end_id: int, where: str, target: int, out: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -129,30 +127,31 @@ def _write(batches: Iterator[pa.RecordBatch], path: str, end_id: int, where: str
     vocab = vocabulary(path)
     dtype = np.uint16 if vocab.dtype == np.uint16 and end_id < 1 << 16 else np.uint32
     fs, folder = filesystem(where)
-    doc_ids, sizes, ids, first, held = [], [], [], None, 0
+    from pyspark import TaskContext
+
+    doc_ids, sizes, ids, held, part, number = [], [], [], 0, TaskContext.get().partitionId(), 0
 
     def flush() -> pa.RecordBatch:
         name = f"{uuid4().hex}.ids"
         all_ids = np.concatenate(ids)
         fs.create_dir(folder, recursive=True)
         with fs.open_output_stream(f"{folder}/{name}") as f:
-            for part in pack(doc_ids, np.array(sizes), all_ids):
-                f.write(part)
-        row = [name, *first, len(doc_ids), len(all_ids)]
+            for data in pack(doc_ids, np.array(sizes), all_ids):
+                f.write(data)
+        row = [name, part, number, len(doc_ids), len(all_ids)]
         return pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip(row, out)], schema=out)
 
     for batch in batches:
-        docs, texts, ties = (batch.column(i).to_pylist() for i in range(3))
+        docs, texts = (batch.column(i).to_pylist() for i in range(2))
         for a, b in slices([len(t or "") for t in texts], 1 << 20):
-            for d, tie, got in zip(docs[a:b], ties[a:b], vocab.encode([t or "" for t in texts[a:b]])):
-                first = first or (d, tie)
+            for d, got in zip(docs[a:b], vocab.encode([t or "" for t in texts[a:b]])):
                 doc_ids.append(d)
                 sizes.append(len(got) + 1)
                 ids.append(np.append(got, end_id).astype(dtype))
                 held += len(got) + 1
             if held * dtype().itemsize >= target:
                 yield flush()
-                doc_ids, sizes, ids, first, held = [], [], [], None, 0
+                doc_ids, sizes, ids, held, number = [], [], [], 0, number + 1
     if doc_ids:
         yield flush()
 
@@ -160,16 +159,17 @@ def _write(batches: Iterator[pa.RecordBatch], path: str, end_id: int, where: str
 def write_shards(docs: DataFrame, path: str, end_id: int, where: str, target: int = 32 << 20) -> DataFrame:
     """Writes the ids of docs (doc_id, text) to files below `where`; the manifest, in the order of the documents.
 
-    (name, first_doc_id, first_tie, docs, ids, start): start is the number of ids in all files before.
+    (name, part, number, docs, ids, start): the file `number` of task `part`, which has a range of the documents; start is the number of
+    ids in all files before.
     """
-    spark = docs.sparkSession
-    fields = pa.schema([("name", pa.string()), ("first_doc_id", pa.int64()), ("first_tie", pa.int64()), ("docs", pa.int64()), ("ids", pa.int64())])
+    fields = pa.schema([("name", pa.string()), ("part", pa.int64()), ("number", pa.int64()), ("docs", pa.int64()), ("ids", pa.int64())])
     df = docs.selectExpr("CAST(doc_id AS long) AS doc_id", "text", "xxhash64(text) AS tie")
-    df = df.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    written = saved(df.mapInArrow(lambda b: _write(b, path, end_id, where, target, fields), "name string, first_doc_id long, first_tie long, docs long, ids long"), "manifest")
-    # One row a file: the running sum is over as many rows as there are files of `target` bytes.
-    before = Window.orderBy(F.col("first_doc_id").asc_nulls_first(), "first_tie", "name").rowsBetween(Window.unboundedPreceding, -1)
-    return written.withColumn("start", F.coalesce(F.sum("ids").over(before), F.lit(0)))
+    df = df.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
+    written = saved(df.mapInArrow(lambda b: _write(b, path, end_id, where, target, fields), "name string, part long, number long, docs long, ids long"), "manifest")
+    before = lambda w: F.coalesce(F.sum("ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # One row a task of the range partitioning meets in one task, never one a file.
+    parts = written.groupBy("part").agg(F.sum("ids").alias("ids")).select("part", before(Window.orderBy("part")).alias("first"))
+    return written.withColumn("inside", before(Window.partitionBy("part").orderBy("number"))).join(parts, "part").withColumn("start", F.col("first") + F.col("inside")).drop("first", "inside")
 
 
 def _read(batches: Iterator[pa.RecordBatch], where: str, out: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -178,13 +178,16 @@ def _read(batches: Iterator[pa.RecordBatch], where: str, out: pa.Schema) -> Iter
         for name, start in zip(batch.column("name").to_pylist(), batch.column("start").to_pylist()):
             with fs.open_input_file(f"{folder}/{name}") as f:
                 shard = Shard(f.read_buffer())
-            bounds = shard.bounds.values()
-            crc = [zlib.crc32(shard.ids[a:b].astype("<u4").tobytes()) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids, pa.int64()), pa.array(bounds[:-1] + start, pa.int64()), pa.array(np.diff(bounds), pa.int64()), pa.array(crc, pa.int64())], schema=out)
+            n = len(shard.doc_ids)
+            for i in range(0, n, READ):
+                k = min(READ, n - i)
+                bounds = shard.bounds.run(i, k + 1)
+                crc = [zlib.crc32(shard.ids[a:b].astype("<u4").tobytes()) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids[i : i + k], pa.int64()), pa.array(bounds[:-1] + start, pa.int64()), pa.array(np.diff(bounds), pa.int64()), pa.array(crc, pa.int64())], schema=out)
 
 
 def read_shards(manifest: DataFrame, where: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of each document, from the files."""
+    """(doc_id, start, n_tokens, ids_crc32) of each document, from the files by select."""
     fields = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
     # A given number of tasks: by bytes of the manifest all files would be read by one.
     one_each = manifest.select("name", "start").repartition(max(1, manifest.count()), "name")
