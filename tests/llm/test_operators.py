@@ -312,6 +312,51 @@ def test_warc_audit(spark, tmp_path):
     assert warc_audit.audit(none, a, b).count() == 0
 
 
+def test_warc_tree_by_brute_force(spark, tmp_path):
+    """Roots are recomputed from the files alone; the descent finds what a comparison of all leaves finds, in fewer steps."""
+    random.seed(11)
+    rows = [(i if i % 9 else None, f"http://x/{i} a\tb", "z" * random.randint(0, 40), "c") for i in range(700)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, pos string").coalesce(1)
+    a, b = f"file://{tmp_path}/a", f"file://{tmp_path}/b"
+    manifest = warc_audit.write_warc(pages, a)
+    hurt = {5, 77, 401}
+    warc_audit.replicate(manifest, a, b, F.col("page_id").isin(*hurt))
+    listed = warc_audit.files(manifest)
+    for where in "ab":
+        for r in warc_audit.trees(listed, f"file://{tmp_path}/{where}").collect():
+            data = (tmp_path / where / r["file"]).read_bytes()
+            nodes = [hashlib.sha256(b"\0" + m["offset"].to_bytes(8, "big") + m["length"].to_bytes(8, "big") + data[m["offset"] : m["offset"] + m["length"]]).digest() for m in sorted(manifest.where(F.col("file") == r["file"]).collect(), key=lambda m: m["pos"])]
+            while len(nodes) > 1:
+                nodes = [hashlib.sha256(b"\1" + b"".join(nodes[i : i + 16])).digest() for i in range(0, len(nodes), 16)]
+            assert bytes(r["root"]) == hashlib.sha256(b"\2" + len(data).to_bytes(8, "big") + nodes[0]).digest()
+    assert {r["page_id"] for r in warc_audit.audit(manifest, a, b).where("status = 'corrupt_b'").collect()} == hurt
+    x = [hashlib.sha256(bytes([i % 251, i // 251])).digest() for i in range(5000)]
+    y = [n if i not in (17, 18, 4999) else b"\7" * 32 for i, n in enumerate(x)]
+    found, compared = warc_audit.descend(warc_audit.levels(x), warc_audit.levels(y))
+    assert found == [17, 18, 4999] and compared < 150
+    headers, _ = warc_audit.parse(warc_audit.record(1, "http://x/a b\n\u0085é", ""))
+    assert headers["WARC-Target-URI"] == "http://x/a%20b%0A%C2%85é"
+    name = manifest.first()["file"]
+    with (tmp_path / "b" / name).open("ab") as f:
+        f.write(b"more")
+    assert "extra_b" in {r["status"] for r in warc_audit.audit(manifest, a, b).collect()}
+
+
+def test_warc_reader(spark, tmp_path):
+    rows = [(i, f"http://x/{i}", "<p>é</p>" * i) for i in range(60)] + [(60, "http://x/60", "long " * 300_000)]
+    a = f"file://{tmp_path}/a"
+    manifest = warc_audit.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), a, target=900)
+    got = warc_audit.read_warc(spark, a)
+    same([(r["url"], r["html"]) for r in got.collect()], [r[1:] for r in rows])
+    assert got.select("file", "offset").exceptAll(manifest.select("file", "offset")).isEmpty()
+
+
+def test_warc_of_a_long_record(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "long " * 600_000), (2, "v", None)], "page_id long, url string, html string")
+    a = f"file://{tmp_path}/a"
+    assert {r["status"] for r in warc_audit.audit(warc_audit.write_warc(pages, a), a, a).collect()} == {"ok"}
+
+
 # 6
 
 
@@ -444,6 +489,18 @@ def test_url_filter(spark):
     got = url_filter.judge(df, "page_id", "url").orderBy("page_id").collect()
     assert [tuple(r)[1:5] for r in got] == [r[1:] for r in rows]
     assert url_filter.judge(df.limit(0), "page_id", "url").count() == 0
+    twice = url_filter.judge(df.unionAll(df), "page_id", "url").orderBy("page_id").collect()
+    assert [tuple(r) for r in twice[::2]] == [tuple(r) for r in twice[1::2]] == [tuple(r) for r in got]
+    long = spark.createDataFrame([(1, "http://x.org/" + "a/" * 700_000 + "PORN"), (2, "http://x.org/" + "porno1" * 300_000)], "page_id long, url string")
+    assert [r["verdict"] for r in url_filter.judge(long, "page_id", "url").orderBy("page_id").collect()] == ["block", "allow"]
+
+
+def test_url_vocabulary(tmp_path):
+    (tmp_path / "v").write_text("# x\nFoo\tsoft\nbar\tstrict\nfoo\tstrict\nbaz\tsoft\n")
+    assert url_filter.vocabulary(tmp_path / "v") == (("bar", "foo"), ("baz",))
+    (tmp_path / "w").write_text("foo\tbad\n")
+    with pytest.raises(ValueError):
+        url_filter.vocabulary(tmp_path / "w")
 
 
 # 9

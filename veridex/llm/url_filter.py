@@ -6,14 +6,16 @@ Host and path rules come first: the longest rule that fits decides, and only URL
 left to the vocabulary.
 
 Nulls and URLs without "://" have an empty host and path, so no rule fits them; the vocabulary still
-sees the whole URL (null: empty, allowed). Repeated rows are judged each. Columns of the input that
-are not asked for don't matter.
+sees the whole URL (null: empty, allowed), however long. Repeated rows are judged each; rules of equal length never both fit. An
+empty table gives an empty result. Columns of the input that are not asked for don't matter, whatever they are called.
+The vocabulary is a file of terms and weights; another can be given.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,8 +23,23 @@ from pyspark.sql import functions as F
 
 from veridex.llm.common import table
 
-STRICT = ("porn", "xxx", "hentai", "escort", "camgirls", "milf", "nsfw", "bestiality")
-SOFT = ("casino", "poker", "betting", "adult", "dating", "viagra", "cialis", "torrent", "crack", "warez", "sex", "nude", "loan", "payday", "jackpot")
+VOCABULARY = Path(__file__).with_name("url_terms.tsv")
+
+
+def vocabulary(path: str | Path = VOCABULARY) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """(strict terms, soft terms) of a file with a term and its weight in each line; a term of both weights is strict."""
+    weights: dict[str, str] = {}
+    for n, line in enumerate(Path(path).read_text(encoding="utf-8").splitlines(), 1):
+        if line.strip() and not line.startswith("#"):
+            term, _, weight = line.partition("\t")
+            if weight not in ("strict", "soft") or not term:
+                raise ValueError(f"{path}, line {n}: a term, a tab, and strict or soft")
+            if weights.get(term.lower()) != "strict":
+                weights[term.lower()] = weight
+    return tuple(sorted(t for t, w in weights.items() if w == "strict")), tuple(sorted(t for t, w in weights.items() if w == "soft"))
+
+
+STRICT, SOFT = vocabulary()
 SOFT_LIMIT = 2
 
 
@@ -78,7 +95,7 @@ def _judge(batches: Iterator[pa.RecordBatch], strict: tuple[str, ...], soft: tup
     for batch in batches:
         found: tuple[list, list] = ([], [])
         for url in batch.column("__url").to_pylist():
-            text = "".join(c.lower() if "A" <= c <= "Z" else c for c in url or "")
+            text = url or ""
             hits: dict[str, set[str]] = {"strict": set(), "soft": set()}
             for end, (kind, term) in machine.iter(text) if len(machine) else ():
                 begin = end - len(term) + 1
@@ -93,7 +110,7 @@ def _judge(batches: Iterator[pa.RecordBatch], strict: tuple[str, ...], soft: tup
 def judge(urls: DataFrame, id_col: str, url_col: str, rules: tuple[Rule, ...] = RULES, strict: tuple[str, ...] = STRICT, soft: tuple[str, ...] = SOFT, soft_limit: int = SOFT_LIMIT) -> DataFrame:
     """(id, host, path, rule, verdict, strict_terms, soft_terms) of each row; the vocabulary's size bounds what tasks hold."""
     host, path = host_and_path(F.col(url_col))
-    df = urls.select(F.col(id_col).alias("__id"), F.col(url_col).alias("__url"), host.alias("host"), path.alias("path"))
+    df = urls.select(F.col(id_col).alias("__id"), F.translate(F.col(url_col), _UPPER, _LOWER).alias("__url"), host.alias("host"), path.alias("path"))
     kind = df.schema["__id"].dataType.simpleString()
     from pyspark.sql.pandas.types import to_arrow_type
 
