@@ -10,7 +10,8 @@ written once and keep their number. In a first exchange chunks send their anchor
 get back one bit each: whether other documents have it. In a second they send the text around the shared anchors (each
 distinct context once, with the least doc_id that has it), the suffixes of the contexts of a bucket are sorted, the
 interval scan finds the maximal repeats, and each context gets back which of its strings a smaller document has. So a passage that
-a third of all documents share weighs as one row a chunk, and no pair of documents is ever formed.
+a third of all documents share weighs as one row a chunk, and no pair of documents is ever formed. The scan sees at most
+CONTEXT bytes of a repeat at once: over a corpus the operator tells spans, and maximal_repeats() the groups of texts at hand.
 
 Texts are UTF-8 bytes; null is empty. Shorter ones than LEAST are never touched. A null doc_id counts as larger than all others; equal
 doc_ids (repeated rows) don't remove each other's bytes. An empty table gives an empty result. A document is in memory whole.
@@ -33,6 +34,8 @@ LEAST, GRAM = 50, 24
 SPAN = LEAST - GRAM  # places before an anchor at which a string that holds it can begin
 CONTEXT = SPAN + GRAM + SPAN
 CHUNK = 4 << 20
+#: Bytes of text whose anchors are in a bucket, on average.
+BUCKET = 64 << 20
 #: Bits of an anchor's hash in the first exchange; equal ones by chance only cost a useless context.
 BITS = 48
 #: Suffixes that are sorted at once.
@@ -168,8 +171,7 @@ class Anchors:
 
 def buckets(keys: np.ndarray, n: int) -> np.ndarray:
     """Where each bucket begins in sorted keys."""
-    edges = (np.arange(n + 1, dtype=object) * (1 << BITS)) // n
-    return np.searchsorted(keys, np.array([int(e) for e in edges], np.uint64))
+    return np.searchsorted(keys, np.arange(n + 1, dtype=np.uint64) * np.uint64((1 << BITS) // n + 1))
 
 
 def _squeeze(a: np.ndarray) -> bytes:
@@ -289,10 +291,9 @@ def _send_keys(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordB
         c = Chunk(row)
         edge = buckets(c.keys, n)
         rows = []
-        for k in range(n):
+        for k in np.flatnonzero(np.diff(edge)).tolist():
             a, b = edge[k], edge[k + 1]
-            if b > a:
-                rows.append((k, c.name, int(b - a), np.packbits(c.several[a:b]).tobytes(), _squeeze(np.diff(c.keys[a:b], prepend=np.uint64(0)))))
+            rows.append((k, c.name, int(b - a), np.packbits(c.several[a:b]).tobytes(), _squeeze(np.diff(c.keys[a:b], prepend=np.uint64(0)))))
         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows) if rows else [[]] * 5, _SENT)], schema=_SENT)
         release()
 
@@ -329,10 +330,9 @@ def _send_contexts(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.Rec
         c.contexts(_shared(c, row["answers"], n))
         edge = buckets(c.row_key, n)
         rows = []
-        for k in range(n):
+        for k in np.flatnonzero(np.diff(edge)).tolist():
             a, b = edge[k], edge[k + 1]
-            if b > a:
-                rows.append((k, c.name, int(b - a), _squeeze(c.least[a:b]), _squeeze(c.rows[a:b])))
+            rows.append((k, c.name, int(b - a), _squeeze(c.least[a:b]), _squeeze(c.rows[a:b])))
         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows) if rows else [[]] * 5, _ROWS)], schema=_ROWS)
         release()
 
@@ -455,8 +455,9 @@ def _remove(batches: Iterator[pa.RecordBatch], n: int, full: bool, schema: pa.Sc
 
 def dedup(docs: DataFrame, chunk: int = CHUNK, full: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept, spans]) of each row of docs (doc_id, text)."""
-    n = 3 * partitions(docs.sparkSession)  # buckets are small beside a task
     chunks = saved(docs.selectExpr("CAST(doc_id AS long) AS doc_id", "text").mapInArrow(lambda b: _gather_chunks(b, chunk), _CHUNK_DDL), "chunks")
+    # Buckets are small beside a task, and grow in number with the text; a chunk sends a row to each that one of its anchors is in.
+    n = max(3 * partitions(docs.sparkSession), -(-chunks.count() * chunk // BUCKET))
     sent = chunks.mapInArrow(lambda b: _send_keys(b, n), "bucket int, chunk string, n long, several binary, blob binary")
     answers = saved(sent.groupBy("bucket").applyInArrow(_find_shared, "chunk string, bucket int, bits binary"), "shared")
     known = chunks.join(answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers")), "chunk", "left")
