@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accented letters and what is left without the accent.
-ACCENTED = "áàâãäåéèêëíìîïóòôõöúùûüçñýÿÁÀÂÃÄÅÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑÝ"
-BARE = "aaaaaaeeeeiiiiooooouuuucnyyAAAAAAEEEEIIIIOOOOOUUUUCNY"
+from veridex.plans.dialect import accents
+
 
 
 def strip_accents(x: Column) -> Column:
-    return F.translate(x, ACCENTED, BARE)
+    return F.translate(x, *accents())
 
 
 def day_of_week(x: Column) -> Column:

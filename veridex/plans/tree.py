@@ -29,8 +29,8 @@ class Node:
 def _inside(v: Any) -> Iterator[Node]:
     if isinstance(v, Node):
         yield v
-    elif isinstance(v, list):
-        for x in v:
+    elif isinstance(v, (list, dict)):
+        for x in v.values() if isinstance(v, dict) else v:
             yield from _inside(x)
 
 
@@ -55,9 +55,16 @@ def _build(flat: list[dict]) -> Node:
 def _value(v: Any) -> Any:
     if _is_tree(v):
         return _build(v)
+    if isinstance(v, dict):
+        return {k: _value(x) for k, x in v.items()}
     return [_value(x) for x in v] if isinstance(v, list) else v
 
 
+def below(n: Node) -> list[Node]:
+    """The nodes next to n: its children and those in its arguments."""
+    return [*n.children, *(x for v in n.args.values() for x in _inside(v))]
+
+
 def parsed(spark: SparkSession, sql: str) -> Node:
     return _build(json.loads(spark._jsparkSession.sessionState().sqlParser().parsePlan(sql).toJSON()))
 
