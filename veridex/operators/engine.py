@@ -26,8 +26,8 @@ from veridex.sources.catalog import Catalog, load
 PAGE, MAX_PAGE, SECONDS = 100, 1000, 30.0
 #: Threads of submit(), and seconds before a second try.
 THREADS, PAUSE = 8, 1.5
-#: Settings of the session that statements run in: users' literals and quoted names.
-CONF = {"spark.sql.parser.escapedStringLiterals": "true", "spark.sql.ansi.doubleQuotedIdentifiers": "true"}
+#: Settings of the session that statements run in: quoted names, times without a zone.
+CONF = {"spark.sql.timestampType": "TIMESTAMP_NTZ", "spark.sql.session.timeZone": "UTC", "spark.sql.ansi.doubleQuotedIdentifiers": "true"}
 _TRANSIENT = re.compile(r"connection (reset|refused|closed)|timed? ?out|slow ?down|service unavailable|unknownhost|temporar", re.IGNORECASE)
 
 
@@ -129,8 +129,7 @@ class Engine:
 
     def session(self) -> SparkSession:
         out = self.spark.newSession()
-        for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
-            out.conf.set(key, self.spark.conf.get(key))
+        out.conf.set("spark.sql.shuffle.partitions", self.spark.conf.get("spark.sql.shuffle.partitions"))
         for key, value in CONF.items():
             out.conf.set(key, value)
         return out
@@ -197,10 +196,11 @@ class Engine:
         tree = guard.check(session, text, allowed, {r[0] for r in read}, prechecked=True)
         names = set(guard.relations(tree))
         used = [d for d in self.catalog.datasets.values() if d.status == "active" and d.name.lower() in names]
-        sources = {f"reader_{i}__": {d for p in r[2] if (d := self.catalog.of_path(p, self.folder)) is not None} for i, r in enumerate(read)} if read else {}
-        keys = {d.key for d in used} | {d.key for ds in sources.values() for d in ds}
+        behind = [d for r in read for p in r[2] if (d := self.catalog.of_path(p, self.folder)) is not None]
+        keys = {d.key for d in [*used, *behind]}
         pruned = None
-        one = used[0] if len(names) == 1 and used else next(iter(sources[next(iter(names))]), None) if len(names) == 1 and len(sources) == 1 and len(read[0][2]) == 1 else None
+        # Files are pruned where the statement reads one dataset, by its name or by one glob.
+        one = used[0] if len(names) == 1 and used else behind[0] if len(names) == len(read) == len(behind) == 1 and len(read[0][2]) == 1 else None
         if one is not None and one.prune == "year":
             pruned = years.proven(tree, one.grain["temporal_column"])
         listed: list[str] = []
@@ -223,7 +223,7 @@ class Engine:
             except ValueError as e:
                 raise guard.Rejected(str(e)) from None
         df = session.sql(text)
-        if bad := typing.text_sums(df):
+        if bad := typing.text_sums(df, tree):
             raise guard.Rejected(f"{', '.join(bad)} is text; cast it before summing")
         return Prepared(df, text, sorted(keys), listed, pruned)
 

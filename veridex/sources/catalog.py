@@ -10,7 +10,7 @@ from dataclasses import asdict, dataclass, field, replace
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veridex.sources import files
@@ -108,6 +108,21 @@ class Dataset:
             out.append(x.alias(f.name, metadata=about))
         return df.select(*out)
 
+    def mode(self, spark: SparkSession, folder: str, metric: str, mode: str, by: list[str]) -> DataFrame:
+        """A metric's declared mode for each of `by`, as the column of the mode's name.
+
+        A mode's shape may ask for more: series, a row for each time, in its order; ranking, the place by falling value; share, the part
+        of the sum over all.
+        """
+        m = next(m for m in self.metrics if m.id == metric)
+        shape, keys = m.modes[mode].get("shape"), by + ([self.grain["temporal_column"]] if m.modes[mode].get("shape") == "series" else [])
+        out = self.scan(spark, folder).groupBy(*keys).agg(m.column(mode).alias(mode))
+        if shape == "series":
+            return out.orderBy(*keys)
+        if shape == "ranking":  # one row for each of `by`
+            return out.withColumn("place", F.rank().over(Window.orderBy(F.desc_nulls_last(mode))).cast("long"))
+        return out.withColumn("part", F.col(mode) / F.sum(mode).over(Window.partitionBy())) if shape == "share" else out
+
     def describe(self) -> str:
         """The contract as Markdown."""
         lines = [f"# {self.key}: {self.title}", self.context, f"Grain: {self.grain}", "", "| column | type | semantic | unit |", "|-|-|-|-|"]
