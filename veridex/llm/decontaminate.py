@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridex.llm.common import saved, slices, table
+from veridex.llm.common import saved, slices, spread, table
 from veridex.llm.segments import BETWEEN, LETTER, NUMBER, classes, hashes, points
 
 K1, B = 1.2, 0.75
@@ -276,4 +276,4 @@ def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return matches(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridex.llm.common import rows_of, saved, slices, table
+from veridex.llm.common import rows_of, saved, slices, spread, table
 from veridex.llm.segments import BETWEEN, hashes, mix, points
 
 WORDS, SIMILARITY = 5, 0.8
@@ -336,4 +336,4 @@ def judged(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
 
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judged(table(spark, sf_dir, "documents"))
+    return judged(spread(table(spark, sf_dir, "documents")))

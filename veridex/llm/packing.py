@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridex.llm.common import saved, slices, table
+from veridex.llm.common import saved, slices, spread, table
 
 VOCABULARY, END_ID, LENGTH = "byte_bpe_50k.json", 0, 2048
 #: Pieces that one task packs, and the share of them, from the emptiest sequences, that may meet others in a later round.
@@ -244,4 +244,4 @@ def pack(found: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFram
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(pieces(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY)))
+    return pack(pieces(spread(table(spark, sf_dir, "documents")), public_tokenizers.path(VOCABULARY)))

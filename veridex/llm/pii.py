@@ -32,7 +32,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridex.llm.common import discard, saved, table
+from veridex.llm.common import discard, saved, spread, table
 
 #: The key of the registered queries where the session has none in KEY_CONF: for tests and shows, not for private data.
 DEMO_KEY, KEY_CONF = "veridex demonstration key", "spark.veridex.pii.key"
@@ -359,4 +359,4 @@ def session_key(spark: SparkSession) -> str:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replaced(table(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark), count_col="n_entities")
+    return replaced(spread(table(spark, sf_dir, "documents")).select("doc_id", "text"), session_key(spark), count_col="n_entities")

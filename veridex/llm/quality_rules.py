@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridex.llm.common import saved, table
+from veridex.llm.common import saved, spread, table
 
 #: WINDOW is what the pairwise hashing in statistics() makes.
 WINDOW, MIN_WORDS, MAX_REPEATED = 8, 20, 30
@@ -174,7 +174,7 @@ def kept(docs: DataFrame) -> DataFrame:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judged(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("posterior", 6).alias("posterior"))
+    return judged(spread(table(spark, sf_dir, "documents"))).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("posterior", 6).alias("posterior"))
 
 
 def _sql() -> str:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridex.llm.common import partitions, release, rows_of, saved, slices, table
+from veridex.llm.common import partitions, release, rows_of, saved, slices, spread, table
 from veridex.llm.segments import _powers, mix
 
 LEAST, GRAM = 50, 24
@@ -470,4 +470,4 @@ def dedup(docs: DataFrame, chunk: int = CHUNK, full: bool = False) -> DataFrame:
 
 
 def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(table(spark, sf_dir, "documents"))
+    return dedup(spread(table(spark, sf_dir, "documents")))

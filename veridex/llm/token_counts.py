@@ -25,7 +25,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from veridex.llm.common import slices, table
+from veridex.llm.common import slices, spread, table
 from veridex.llm.segments import BETWEEN, Segments, gather, hashes, points
 
 LIMIT = 4096
@@ -208,4 +208,4 @@ def stored(blob: bytes) -> np.ndarray:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prefix_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(MODEL))
+    return prefix_counts(spread(table(spark, sf_dir, "documents")), public_tokenizers.path(MODEL))
