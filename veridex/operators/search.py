@@ -50,7 +50,9 @@ def bm25(docs: DataFrame, key: str, text: str, question: str, top: int) -> DataF
     if not q:
         return docs.select(F.col(key), F.lit(0.0).alias("score")).limit(0)
     where = work_dir(spark, "bm25")
-    docs.select(F.col(key), _counted(F.col(text), q).alias("c")).select(key, "c.dl", "c.tf").write.mode("overwrite").parquet(where)
+    cores = spark.sparkContext.defaultParallelism  # a small table is often one file, which one task would read
+    spread = docs.repartition(cores) if docs._jdf.queryExecution().toRdd().getNumPartitions() < cores else docs
+    spread.select(F.col(key), _counted(F.col(text), q).alias("c")).select(key, "c.dl", "c.tf").write.mode("overwrite").parquet(where)
     counted = spark.read.parquet(where)
     stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.sum((F.col("tf")[i] > 0).cast("long")).alias(f"df{i}") for i in range(len(q)))).first()
     n, avgdl = stats["n"], stats["avgdl"] or 1.0
