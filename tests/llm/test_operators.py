@@ -716,3 +716,68 @@ def test_pii_brute_force(spark):
     rows = [(i, "".join(random.choice(bits) + random.choice([" ", " ", ""]) for _ in range(random.randint(0, 12)))) for i in range(150)] + [(None, None), (200, ""), (3, "dup a@b.cc"), (3, "dup a@b.cc")]
     got = pii.replaced(spark.createDataFrame(rows, "doc_id long, text string"), KEY, count_col="n").collect()
     same(map(tuple, got), brute_pii(rows, KEY))
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    """The whole pipeline on documents with nulls, empty and repeated rows, copies, passages of the benchmark, PII and clashing columns."""
+    import corpus_pipeline
+    import duckdb
+    import pandas as pd
+
+    random.seed(21)
+    words = ["".join(random.choices("abcdefghijklmnoprstu", k=random.randint(3, 8))) for _ in range(600)] + ["the", "of", "and"] * 30
+    sentence = lambda n: " ".join(random.choices(words, k=n)).capitalize() + "."
+    text = lambda: " ".join(sentence(random.randint(6, 14)) for _ in range(random.randint(3, 12)))
+    items = [(k, sentence(16)) for k in range(6)] + [(6, None), (7, "")]
+    rows = [(i, text()) for i in range(60)]
+    rows += [(100 + i, rows[i][1]) for i in range(8)] + [(120 + i, rows[20 + i][1] + " extra") for i in range(4)] + [rows[30], rows[30], (None, rows[31][1]), (None, None), (130, None), (131, ""), (132, "# $ " * 60), (133, "same line here\n" * 40)]
+    rows += [(140 + k, f"{text()} {items[k][1]} {text()}") for k in range(4)] + [(150 + k, f"{text()} Mail a.b{k % 2}@mail.example.com from 10.0.0.{k % 3} {text()}") for k in range(5)]
+    rows += [(160, text() * 40)]
+    random.shuffle(rows)
+    names = ["doc_id", "text", "n_words", "row", "kept", "node"]
+    full = [(*r, "clash", 7, "k", b"n") for r in rows]
+    frame = pd.DataFrame(full, columns=names).astype({"doc_id": "Int64"})
+    frame.to_parquet(tmp_path / "documents.parquet")
+    pd.DataFrame(items, columns=["item_id", "text"]).to_parquet(tmp_path / "benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT doc_id, text FROM '{tmp_path}/documents.parquet'")
+    verdict = Counter(duck.execute(f"SELECT doc_id, kept FROM ({quality_rules.ORACLE_SQL})").fetchall())
+    base = [(i, t) for i, t in rows if (stats(t)[0] >= 20 and 100 * stats(t)[4] <= 30 * stats(t)[0])]
+    good = [(i, t) for i, t in base if verdict[i, True] and not (i is None and t is None)]
+    assert len(good) == sum(n for (_, k), n in verdict.items() if k) > 50
+    classes, n = brute_classes(good)
+    order = sorted(range(len(good)), key=lambda k: (good[k][0] is None, good[k][0] or 0))
+    least, seen = [], set()
+    for k in order:
+        c = classes[k][1]
+        if c not in seen:
+            seen.add(c)
+            least.append(good[k])
+    assert len(least) == n
+    plain = lambda t: " ".join(re.findall(r"[a-z0-9]+", t.lower()))
+    clean = [(i, t) for i, t in least if not any(x and f" {plain(x)} " in f" {plain(t)} " for _, x in items)]
+    assert {140, 141, 142, 143} & {i for i, _ in least} and not {140, 141, 142, 143} & {i for i, _ in clean}
+    private = [(i, t) for i, t, _ in brute_pii(clean, pii.session_key(spark))]
+    assert all("mail.example.com" not in t for _, t in private)
+    library = vocabulary(public_tokenizers.path(packing.VOCABULARY)).library
+    want = []
+    for i, t in private:
+        ids = [*library.encode(t, add_special_tokens=False).ids, 0]
+        first = len(ids) % 2048 or 2048
+        cuts = [0, *range(min(first, len(ids)), len(ids), 2048), len(ids)]
+        want += [(i, k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+    same([tuple(r)[:5] for r in got], want)
+    fills = Counter()
+    for r in got:
+        fills[r["sequence_id"]] += r["length"]
+    assert max(fills.values()) <= 2048 and len(fills) <= -(-sum(fills.values()) // 2048) + 1
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, lang string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "some item text here")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
