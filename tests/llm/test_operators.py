@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -380,6 +381,57 @@ def test_decontaminate(spark, empty):
         assert {k for k, _ in index.search(query)} == {k for k, s in want.items() if s >= 1 - 1e-9}
 
 
+def test_decontaminate_by_brute_force(spark):
+    """Every window of every text against every item: the score, then the overlap of question and answer."""
+    random.seed(17)
+    vocab = [f"w{i}" for i in range(80)] + ["the", "of"] * 6
+    items = [(k, random.choices(vocab, k=random.randint(4, 14))) for k in range(25)]
+
+    def worn(words, p):
+        return [random.choice(vocab) if random.random() < p else w for w in words if random.random() > p / 2]
+
+    docs = []
+    for i in range(120):
+        words = random.choices(vocab, k=random.randint(0, 90))
+        for _, item in random.sample(items, 2):
+            at = random.randint(0, len(words))
+            words[at:at] = worn(item, random.choice([0, 0.1, 0.3]))
+        docs.append((i, words))
+    n, mean = len(items), sum(len(w) for _, w in items) / len(items)
+    df = Counter(w for _, item in items for w in set(item))
+    longest = max(len(w) for _, w in items)
+
+    def score(item, words):
+        tf = Counter(item)
+        part = {w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(item) / mean)) for w, c in tf.items()}
+        return sum(x for w, x in part.items() if w in words) / sum(part.values())
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[-1]))
+            row = new
+        return row[-1]
+
+    want = set()
+    for i, words in docs:
+        for a in range(0, max(1, len(words) - longest), longest):
+            passage = words[a : a + 2 * longest]
+            for k, item in items:
+                if score(item, set(passage)) < 0.5 - 1e-9:
+                    continue
+                cut = -(-2 * len(item) // 3)
+                for b in range(0, max(1, len(passage) - len(item)), len(item)):
+                    part = passage[b : b + 2 * len(item)]
+                    if common(item[:cut], part) >= 0.8 * cut and common(item[cut:], part) >= 0.8 * (len(item) - cut):
+                        want.add((i, k))
+    df_docs = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(df_docs, bench).collect()} == want and len(want) > 60
+
+
 # 7
 
 

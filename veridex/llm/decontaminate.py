@@ -9,8 +9,10 @@ Retrieved items are verified: of both question (the first two thirds of the word
 in the passage in the same order.
 
 Words are runs of letters and digits, lower-cased. Null and empty texts, and items without words, match nothing. Repeated rows are
-judged each; a null doc_id is carried. The index is made from bounded shards of the items; more items make more shards, each
-a pass of its own with the word statistics of all.
+judged each; null doc_ids and item_ids are carried; items that tie are all told. Very long texts are taken whole, window after
+window. An empty table on either side matches nothing. matches() looks at doc_id, text and item_id only; clean() carries all columns,
+whatever they are called. The index is made from bounded shards of the items; more items make more shards, each a pass of its own
+over the documents with the word statistics of all: benchmarks are small beside a corpus.
 """
 
 from __future__ import annotations
