@@ -18,6 +18,7 @@ play no part, whatever they are called.
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,8 @@ from veridex.llm.segments import BETWEEN, Segments, gather, hashes, points
 LIMIT = 4096
 MODEL = "piece_bpe_32k.model"
 _SPACE = "▁"
+#: Characters of a segment whose prefixes are remembered; at four tokens a character their counts are under 256.
+SHORT = 63
 #: What stands for BETWEEN inside a text: as unknown to models, and as long in UTF-8.
 _OTHER = "\U0010fffe"
 
@@ -47,7 +50,11 @@ class PrefixCounter:
         pieces = [lib.id_to_piece(i) for i in normal]
         #: The order of merges: by falling score; of equal ones the leftmost comes first.
         self.rank = {p: -lib.get_score(i) for i, p in zip(normal, pieces)}
-        self.longest = max(map(len, pieces))
+        #: Length of the longest token that ends in these two characters.
+        self.reach: dict[str, int] = {}
+        for p in pieces:
+            if len(p) > 1:
+                self.reach[p[-2:]] = max(len(p), self.reach.get(p[-2:], 0))
         #: Characters that no token of several has; no merge crosses them.
         inner = {c for p in pieces if len(p) > 1 for c in p}
         self.alone = frozenset(chr(c) for c in (9, 10, 13)) - inner
@@ -55,35 +62,42 @@ class PrefixCounter:
         assert self.whole, "tokens of this model cross word boundaries"
         assert not {BETWEEN, _OTHER} & {c for p in pieces for c in p} and lib.encode(f"a{_SPACE}b {BETWEEN}") == lib.encode("a b ") + lib.encode(f" {BETWEEN}")[-4:], "this model treats spaces otherwise"
         self.together: dict[tuple[str, str], bool] = {}
-        self.states: dict[str, tuple[int, str]] = {}
+        self.states: dict[str, tuple[bytes, str]] = {}  # prefix of a segment -> counts of its prefixes, its last token
         self.cache = Segments(self.table, np.uint16, bits=20, most=24_000_000)
-        self.long: dict[str, np.ndarray] = {}
-
-    def merge(self, s: str) -> list[str]:
-        """Reference merge: the pair whose concatenation has the lowest rank, the leftmost of these, again and again."""
-        parts = list(s)
-        while True:
-            best = min(((self.rank[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in self.rank), default=None)
-            if best is None:
-                return parts
-            i = best[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
     def _stay(self, a: str, b: str) -> bool:
+        """Whether two tokens stay whole beside each other."""
         found = self.together.get((a, b))
         if found is None:
             if len(self.together) > 400_000:
                 self.together.clear()
-            found = self.together[a, b] = self.merge(a + b) == [a, b]
+            found = self.together[a, b] = self._apart(a, b)
         return found
 
+    def _apart(self, a: str, b: str) -> bool:
+        """Merges a + b, the pair of lowest rank first, the leftmost of these: whether a and b come out of it, and no pair crosses their border."""
+        parts, get, cut, none = list(a + b), self.rank.get, len(a), math.inf
+        ranks = [get(x + y, none) for x, y in zip(parts, parts[1:])]
+        while ranks and (low := min(ranks)) < none:
+            i = ranks.index(low)
+            if i == cut - 1:
+                return False
+            cut -= i < cut
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = get(parts[i] + parts[i + 1], none)
+            if i:
+                ranks[i - 1] = get(parts[i - 1] + parts[i], none)
+        return len(parts) == 2
+
     def prefixes(self, s: str) -> list[int]:
         """Token counts of s[:1], s[:2], ... of a segment, spaces as U+2581."""
         counts: list[int] = [0]
         last: list[str] = [""]
-        rank, longest, stay = self.rank, self.longest, self._stay
+        rank, reach, stay = self.rank, self.reach.get, self._stay
         for end in range(1, len(s) + 1):
-            for begin in range(max(0, end - longest), end):
+            for begin in range(max(0, end - reach(s[max(0, end - 2) : end], 1)), end):
                 t = s[begin:end]
                 if (t in rank or end - begin == 1) and (not begin or stay(last[begin], t)):
                     n = 1 if t in rank else len(t.encode("utf-8", "surrogatepass"))  # an unknown character falls back to its bytes
@@ -94,33 +108,35 @@ class PrefixCounter:
                 raise AssertionError(f"no last token of {s[:end]!r}")
         return counts[1:]
 
-    def _known(self, s: str) -> list[int]:
-        """prefixes(s), by the cached states of s's own prefixes."""
-        states = self.states
+    def _known(self, s: str) -> bytes:
+        """prefixes(s) of a short segment, from the state of its longest prefix that was met before."""
+        states, k = self.states, len(s)
         if len(states) > 400_000:
             states.clear()
-        out, rank, longest, stay = [], self.rank, self.longest, self._stay
-        for end in range(1, len(s) + 1):
-            p = s[:end]
-            state = states.get(p)
-            if state is None:
-                for begin in range(max(0, end - longest), end):
-                    t = s[begin:end]
-                    if t in rank or end - begin == 1:
-                        before = (0, "") if not begin else states[s[:begin]]
-                        if not begin or stay(before[1], t):
-                            state = states[p] = (before[0] + (1 if t in rank else len(t.encode("utf-8", "surrogatepass"))), t)
-                            break
-            out.append(state[0])
-        return out
+        while k and s[:k] not in states:
+            k -= 1
+        counts = states[s[:k]][0] if k else b""
+        rank, reach, stay = self.rank, self.reach.get, self._stay
+        for end in range(k + 1, len(s) + 1):
+            for begin in range(max(0, end - reach(s[max(0, end - 2) : end], 1)), end):
+                t = s[begin:end]
+                if (t in rank or end - begin == 1) and (not begin or stay(states[s[:begin]][1], t)):
+                    counts += bytes(((counts[begin - 1] if begin else 0) + (1 if t in rank else len(t.encode("utf-8", "surrogatepass"))),))
+                    states[s[:end]] = counts, t
+                    break
+            else:
+                raise AssertionError(f"no last token of {s[:end]!r}")
+        return counts
 
-    def table(self, segment: str) -> list[int]:
+    def table(self, segment: str) -> np.ndarray:
         """Counts of a segment's prefixes, modulo 65536: differences of neighbours, which are checked here, restore them."""
         s = segment.replace(" ", _SPACE)
-        counts = self._known(s) if len(s) <= 64 else self.prefixes(s)
-        if any(abs(b - a) >= 1 << 15 for a, b in zip(counts, counts[1:])):
+        if len(s) <= SHORT:
+            return np.frombuffer(self._known(s), np.uint8)
+        counts = np.array(self.prefixes(s), np.int64)
+        if (np.abs(np.diff(counts)) >= 1 << 15).any():
             raise OverflowError("the count of a prefix changes by more than a table's entry can tell")
-        return [c & 0xFFFF for c in counts]
+        return counts & 0xFFFF
 
     def segments(self, texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(joined texts, each with a space before it; start, length and text of each segment; code points)."""
