@@ -457,7 +457,7 @@ def dedup(docs: DataFrame, chunk: int = CHUNK, full: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept, spans]) of each row of docs (doc_id, text)."""
     chunks = saved(docs.selectExpr("CAST(doc_id AS long) AS doc_id", "text").mapInArrow(lambda b: _gather_chunks(b, chunk), _CHUNK_DDL), "chunks")
     # Buckets are small beside a task, and grow in number with the text; a chunk sends a row to each that one of its anchors is in.
-    n = max(3 * partitions(docs.sparkSession), -(-chunks.count() * chunk // BUCKET))
+    n = max(6 * partitions(docs.sparkSession), -(-chunks.count() * chunk // BUCKET))
     sent = chunks.mapInArrow(lambda b: _send_keys(b, n), "bucket int, chunk string, n long, several binary, blob binary")
     answers = saved(sent.groupBy("bucket").applyInArrow(_find_shared, "chunk string, bucket int, bits binary"), "shared")
     known = chunks.join(answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers")), "chunk", "left")
