@@ -37,7 +37,7 @@ COORDINATES = BANDS * ROWS
 #: A pair of similarity 0.8 agrees on fewer than 0.6 of 96 coordinates with a probability of about 2e-6.
 LIKELY = 0.6
 #: Bytes of signatures and shingles in a block of a bucket; a longer document is a block's only one.
-BLOCK = 2 << 20
+BLOCK = 512 << 10
 _WHITE = np.zeros(0x110000, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -246,11 +246,13 @@ def _blocks(batches: Iterator[pa.RecordBatch], likely: float, least: float, out:
             links = []
             i, j = np.nonzero((agree >= likely * sx.shape[1]) & (rx[:, None] != ry[None, :]))
             order = np.argsort(-agree[i, j], kind="stable")
-            for p, q in zip(i[order].tolist(), j[order].tolist()):
-                a, b = up[rx[p]], up[ry[q]]
-                if a != b and set_similarity(fx[p], fy[q]) >= least:
-                    up[up == b] = a
-                    links.append((x[p]["node"], y[q]["node"]))
+            for part in range(0, len(order), 1 << 16):
+                some = order[part : part + (1 << 16)]
+                for p, q in zip(i[some].tolist(), j[some].tolist()):
+                    a, b = up[rx[p]], up[ry[q]]
+                    if a != b and set_similarity(fx[p], fy[q]) >= least:
+                        up[up == b] = a
+                        links.append((x[p]["node"], y[q]["node"]))
             yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in links], pa.binary()), pa.array([v for _, v in links], pa.binary())], schema=out)
 
 
