@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridex.llm.common import saved, slices, spread, table
+from veridex.llm.common import release, saved, slices, spread, table
 from veridex.llm.segments import BETWEEN, LETTER, NUMBER, classes, hashes, points
 
 K1, B = 1.2, 0.75
@@ -259,6 +259,7 @@ def _keep(batches: Iterator[pa.RecordBatch], index: Index, text_at: int) -> Iter
         for a, b in slices([len(t) for t in texts], 1 << 20):
             clean[[a + t for t, _ in index.verified(texts[a:b])]] = False
         yield batch.filter(pa.array(clean))
+        release()
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:

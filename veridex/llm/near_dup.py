@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridex.llm.common import rows_of, saved, slices, spread, table
+from veridex.llm.common import release, rows_of, saved, slices, spread, table
 from veridex.llm.segments import BETWEEN, hashes, mix, points
 
 WORDS, SIMILARITY = 5, 0.8
@@ -179,6 +179,7 @@ def _sign(batches: Iterator[pa.RecordBatch], out: pa.Schema) -> Iterator[pa.Reco
         offsets = pa.array(np.arange(len(rows) + 1) * BANDS, pa.int32())
         values = pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64))
         yield pa.RecordBatch.from_arrays([nodes, pa.ListArray.from_arrays(offsets, values), pa.array(sigs, pa.binary())], schema=out)
+        release()
 
 
 def _features(batches: Iterator[pa.RecordBatch], out: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -193,6 +194,7 @@ def _check(batches: Iterator[pa.RecordBatch], least: float, out: pa.Schema) -> I
         a, b = batch.column("fa"), batch.column("fb")
         ok = [similarity(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) >= least for x, y in zip(a, b)]
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(ok, pa.bool_())), batch.column("b").filter(pa.array(ok, pa.bool_()))], schema=out)
+        release()
 
 
 _EDGE = "a binary, b binary"

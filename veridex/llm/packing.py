@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridex.llm.common import saved, slices, spread, table
+from veridex.llm.common import release, saved, slices, spread, table
 
 VOCABULARY, END_ID, LENGTH = "byte_bpe_50k.json", 0, 2048
 #: Pieces that one task packs, and the share of them, from the emptiest sequences, that may meet others in a later round.
@@ -56,6 +56,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, end_id: int, length: i
                     for column, x in zip(rows, (d, k, start, n, zlib.crc32(ids[start : start + n].tobytes()))):
                         column.append(x)
         yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(rows, schema)], schema=schema)
+        release()
 
 
 def best_fit(sizes: list[int], length: int) -> list[list[int]]:
