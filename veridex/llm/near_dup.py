@@ -37,7 +37,7 @@ COORDINATES = BANDS * ROWS
 #: A pair of similarity 0.8 agrees on fewer than 0.6 of 96 coordinates with a probability of about 2e-6.
 LIKELY = 0.6
 #: Bytes of signatures and shingles in a block of a bucket; a longer document is a block's only one.
-BLOCK = 512 << 10
+BLOCK = 2 << 20
 _WHITE = np.zeros(0x110000, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
 
