@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridex.llm.common import release, rows_of, saved, slices, spread, table
+from veridex.llm.common import discard, release, rows_of, saved, slices, spread, table
 from veridex.llm.segments import BETWEEN, hashes, mix, points
 
 WORDS, SIMILARITY = 5, 0.8
@@ -221,7 +221,8 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         large = both.join(low, "u").selectExpr("u", "v", "least(m, u) AS m").where("v > u AND v <> m").selectExpr("v AS u", "m AS v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").selectExpr("v AS u", "m AS v").unionAll(low.selectExpr("u", "m AS v")).where("u <> v").selectExpr("greatest(u, v) AS u", "least(u, v) AS v").distinct()
-        edges = saved(small, name)
+        old, edges = edges, saved(small, name)
+        discard(old)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break
@@ -301,10 +302,13 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     what = pa.schema([("node", pa.binary()), ("f", pa.binary())])
     features = saved(some.mapInArrow(lambda b: _features(b, what), "node binary, f binary"), "features")
     links = saved(checked(stars, features, least), "links")
+    discard(leaders, stars)
     roots = components(links, "roots")
     more = saved(_residual(bands, roots, signed, features, LIKELY, least), "links")
+    discard(signed, features)
     if not more.isEmpty():
         roots = components(links.unionAll(more), "roots")
+    discard(links, more)
     # The least doc_id of each text, then of each class of texts; copies are summed up before they meet.
     least_id = docs.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     rooted = least_id.join(roots, "node").select("node", "root", "doc_id")
