@@ -159,7 +159,7 @@ def _sign(batches: Iterator[pa.RecordBatch], out: pa.Schema) -> Iterator[pa.Reco
     for batch in batches:
         rows, bands, sigs = [], [], []
         texts = batch.column("text").to_pylist()
-        for a, b in slices([len(t or "") for t in texts], 1 << 20):
+        for a, b in slices([len(t or "") for t in texts], 1 << 19):
             bags = shingles([(t or "").replace(BETWEEN, " ") for t in texts[a:b]])
             sizes = np.array([len(s) for s in bags])
             filled = np.flatnonzero(sizes)
@@ -175,6 +175,7 @@ def _sign(batches: Iterator[pa.RecordBatch], out: pa.Schema) -> Iterator[pa.Reco
             rows += (a + filled).tolist()
             bands.append(key.view(np.int64).ravel())
             sigs += [s.tobytes() for s in sig.astype("<u4")]
+            release()
         nodes = batch.column("node").take(pa.array(rows, pa.int64()))
         offsets = pa.array(np.arange(len(rows) + 1) * BANDS, pa.int32())
         values = pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64))
@@ -185,8 +186,9 @@ def _sign(batches: Iterator[pa.RecordBatch], out: pa.Schema) -> Iterator[pa.Reco
 def _features(batches: Iterator[pa.RecordBatch], out: pa.Schema) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [(t or "").replace(BETWEEN, " ") for t in batch.column("text").to_pylist()]
-        for a, b in slices([len(t) for t in texts], 1 << 20):
+        for a, b in slices([len(t) for t in texts], 1 << 19):
             yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), pa.array([s.tobytes() for s in shingles(texts[a:b])], pa.binary())], schema=out)
+            release()
 
 
 def _check(batches: Iterator[pa.RecordBatch], least: float, out: pa.Schema) -> Iterator[pa.RecordBatch]:
